@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import html_text, toxicity, url_filter
 from .common import remainder, table
 
 
@@ -17,5 +17,37 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"), best.alias("best_bits"))
 
 
-QUERIES = {"op9_toxicity": op9_toxicity}
-ORACLE: dict[str, str] = {}
+#: (verdict, host, path); and hosts that are blocked where no rule fits.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_HOSTS = [f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, LISTED_HOSTS, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_BLOCKED = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in LISTED_HOSTS)
+_FIT = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+_BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r[1]) - len(r[2]))
+OP2_SQL = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+)
+SELECT page_id, host, path,
+       CASE {" ".join(f"WHEN {_FIT(h, p)} THEN '{h}{p}'" for _, h, p in _BY_LENGTH)} END AS rule,
+       CASE {" ".join(f"WHEN {_FIT(h, p)} THEN '{v}'" for v, h, p in _BY_LENGTH)} WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END AS verdict
+FROM parts
+"""
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op9_toxicity": op9_toxicity}
+ORACLE = {"op2_url_filter": OP2_SQL}
