@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, toxicity, url_filter
+from . import decontaminate, html_text, toxicity, url_filter
 from .common import remainder, table
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and test item that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("hits").alias("h"))
+    return hits.select("doc_id", "h.item_id", "h.distance", "h.end")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(remainder("doc_id", 5) != 0))
@@ -49,5 +56,5 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op9_toxicity": op9_toxicity}
+QUERIES = {"op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op9_toxicity": op9_toxicity}
 ORACLE = {"op2_url_filter": OP2_SQL}
