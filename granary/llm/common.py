@@ -89,13 +89,13 @@ def as_array(x) -> pa.Array:
     return x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
 
 
-def words(texts) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(codes, offsets, vocabulary) of the words [^\\x20\\x09-\\x0D]+ of texts with A-Z lower-cased.
+def words(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes, offsets, vocabulary) of the words [^\\x20\\x09-\\x0D]+ of texts with A-Z lower-cased if asked.
 
     Text i has codes[offsets[i]:offsets[i + 1]]; a null text has none.
     """
     arr = pc.fill_null(as_array(texts).cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(arr))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(arr) if lower else arr)
     offs = lists.offsets.to_numpy().astype(np.int64)
     d = lists.flatten().dictionary_encode()
     d = as_array(d)
@@ -160,3 +160,14 @@ def blocks_for(df: DataFrame, text: str, chars: int) -> int:
     """How many blocks of about so many characters hold df's texts: grows with the input, whatever the cluster."""
     total = df.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
     return max(1, -(-total // chars))
+
+
+def by_chars(batches, column: str, chars: int = 4_000_000):
+    """The same rows in record batches of about so many characters at most, so that a task's memory stays bounded."""
+    for b in batches:
+        size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.utf8_length(b.column(column)), 0).to_numpy(zero_copy_only=False))))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, size[at] + chars, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to

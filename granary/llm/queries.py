@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, toxicity, url_filter
-from .common import remainder, table
+from . import decontaminate, html_text, id_store, toxicity, url_filter
+from .common import Scratch, remainder, table
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,21 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "h.item_id", "h.distance", "h.end")
 
 
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark).path()
+    id_store.write_store(table(spark, sf_dir, "documents"), folder, tokenizer_path(), END_ID)
+    return id_store.read_digests(spark, folder)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(remainder("doc_id", 5) != 0))
@@ -56,5 +71,5 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op9_toxicity": op9_toxicity}
+QUERIES = {"op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity}
 ORACLE = {"op2_url_filter": OP2_SQL}
