@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, id_store, toxicity, url_filter
+from . import decontaminate, html_text, id_store, language_model, toxicity, url_filter
 from .common import Scratch, remainder, table
 
 
@@ -39,6 +39,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"), best.alias("best_bits"))
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path); and hosts that are blocked where no rule fits.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 LISTED_HOSTS = [f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org")]
@@ -71,5 +75,5 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_language_model": op1_language_model, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity}
 ORACLE = {"op2_url_filter": OP2_SQL}
