@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, id_store, language_model, toxicity, url_filter
+from . import decontaminate, html_text, id_store, language_model, span_dedup, toxicity, url_filter
 from .common import Scratch, remainder, table
 
 
@@ -16,6 +16,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "h.item_id", "h.distance", "h.end")
 
 
+def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
 
@@ -75,5 +79,5 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_language_model": op1_language_model, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_language_model": op1_language_model, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op6_span_dedup": op6_span_dedup, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity}
 ORACLE = {"op2_url_filter": OP2_SQL}
