@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hash_forest, html_text, id_store, language_model, span_dedup, toxicity, url_filter
+from . import decontaminate, hash_forest, html_text, id_store, language_model, ngram_join, span_dedup, toxicity, url_filter
 from .common import Scratch, remainder, table
 
 
@@ -83,5 +83,9 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_language_model": op1_language_model, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op6_span_dedup": op6_span_dedup, "op7_hash_forest": op7_hash_forest, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+QUERIES = {"op1_language_model": op1_language_model, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op6_span_dedup": op6_span_dedup, "op7_hash_forest": op7_hash_forest, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
 ORACLE = {"op2_url_filter": OP2_SQL}
