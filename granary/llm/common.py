@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -67,9 +68,12 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of frames that are no longer referenced. Python's references go first, the
+    JVM's then, and the files a moment later, so it takes two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_column(name: str = "text") -> Column:
@@ -81,6 +85,15 @@ def remainder(key: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def bounded_sample(df: DataFrame, by: Column, most: int) -> DataFrame:
+    """The `most` rows with the smallest hashes (all, if fewer). A threshold set from the number of rows goes first,
+    so that the task that orders what is left reads about `most` rows, however many partitions there are."""
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(F.pmod(by, F.lit(1 << 40)) < int((1 << 40) * (1.2 * most + 1000) / n))
+    return df.orderBy(F.pmod(by, F.lit(1 << 40)), by).limit(most)
+
+
 # --- tokens --------------------------------------------------------------------------------------
 
 
@@ -94,8 +107,9 @@ def words(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
     Text i has codes[offsets[i]:offsets[i + 1]]; a null text has none.
     """
-    arr = pc.fill_null(as_array(texts).cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(arr) if lower else arr)
+    arr = pc.fill_null(as_array(texts), "")
+    arr = pc.ascii_lower(arr) if lower else arr  # before the cast: after it, Arrow 23 misreads slices
+    lists = pc.ascii_split_whitespace(arr.cast(pa.large_string()))
     offs = lists.offsets.to_numpy().astype(np.int64)
     d = lists.flatten().dictionary_encode()
     d = as_array(d)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_sample
+
 #: Labelled pages to learn from at most: those with the smallest hash.
 MAX_LABELLED = 2_000
 #: HTML's elements by role.
@@ -170,7 +172,9 @@ def main_text(page: str | None, model: PageModel) -> str:
 def fit(pages: DataFrame, column: str = "html", max_labelled: int = MAX_LABELLED) -> PageModel:
     """From at most max_labelled pages that mark their main text; the counts have a row for each tag and context."""
     marked = pages.select(F.col(column).cast("string").alias("h")).where(F.lower("h").contains("<article") | F.lower("h").contains("<main"))
-    sample = marked.select("h", F.xxhash64("h").alias("k")).orderBy("k", F.length("h")).limit(max_labelled)
+    hashes = marked.select(F.xxhash64("h").alias("k")).distinct()
+    chosen = bounded_sample(hashes, F.col("k"), max_labelled)  # so few hashes that they may be broadcast
+    sample = marked.withColumn("k", F.xxhash64("h")).join(F.broadcast(chosen), "k", "left_semi").select("h")
 
     def count(batches):
         total = Counter()

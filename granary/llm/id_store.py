@@ -11,8 +11,9 @@ three Parquet tables in one folder:
 read_documents() rebuilds the ids, read_digests() start, length and CRC; both check every digest and root against the
 stored bytes and fail on the first mismatch.
 
-A text's ids are those that the tokenizers library gives. The tokenizer's normalisation and its pattern never join
-characters across ASCII white space, so each distinct word is encoded once per worker and then looked up.
+A text's ids are those that the tokenizers library gives. The tokenizer must lower-case and drop white space, as its
+normalisation and pattern do: then nothing joins characters across ASCII white space, and each distinct word is
+encoded once and then looked up; a worker remembers a bounded number of words.
 
 Cases: null text counts as empty and gives the end id alone; a null key sorts first. Repeated rows are kept: those that
 are equal share a recipe, written once for each. Texts of any length are cut like others. An empty table gives an
@@ -22,10 +23,13 @@ empty store. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ from .common import Scratch, by_chars, text_column, words
 WINDOW, MASK_BITS, MIN, MAX = 16, 8, 64, 1024
 DIGEST = 16
 #: Words that a worker remembers at most.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 _workers: dict = {}
 
 
@@ -53,34 +57,56 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; one for each worker process and file."""
+    """Ids of texts by a tokenizer file that lower-cases; one for each worker process and file."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a process for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.known, self.flat, self.first, self.size = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of all texts, each with its end id. Words are split at white space only: case is kept."""
-        codes, offs, vocab = words(texts, lower=False)
-        vocab = vocab.to_pylist()
-        new = [w for w in vocab if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, vocab
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, self.dtype)
-        each = [self.known[w] for w in vocab] + [np.array([end_id], self.dtype)]
-        lens = np.fromiter((len(x) for x in each), np.int64, len(each))
-        flat, first = np.concatenate(each), np.concatenate(([0], np.cumsum(lens)[:-1]))
+        """(ids, offsets) of all texts, each with its end id."""
+        # special tokens are told by their exact letters, before the tokenizer lower-cases: A-Z wait for it then
+        lower = not pc.any(pc.match_substring(texts, "<|")).as_py()
+        codes, offs, vocab = words(texts, lower=lower)
+        at = pc.index_in(vocab, value_set=self.known)
+        new = vocab.filter(pc.is_null(at))
+        old = at.is_valid().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)] + [[end_id]]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum()))))
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        # each word of these texts, and the end: where its ids begin, and how many there are
+        first, size = np.empty(len(vocab) + 1, np.int64), np.empty(len(vocab) + 1, np.int64)
+        first[:-1][old], size[:-1][old] = self.first[at[old]], self.size[at[old]]
+        first[:-1][~old], size[:-1][~old] = starts[:-1], sizes[:-1]
+        first[-1], size[-1] = starts[-1], 1
         n = np.diff(offs)
         codes = np.insert(codes, offs[1:], len(vocab)) if len(n) else codes
-        size = lens[codes]
-        at = np.cumsum(size)
-        ids = flat[np.repeat(first[codes] - (at - size), size) + np.arange(at[-1] if len(at) else 0)]
-        ends = np.concatenate(([0], at))[np.concatenate(([0], np.cumsum(n + 1)))]
+        each = size[codes]
+        stop = np.cumsum(each)
+        ids = flat[np.repeat(first[codes] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.concatenate(([0], stop))[np.concatenate(([0], np.cumsum(n + 1)))]
+        self._remember(vocab, old, first[:-1], size[:-1], flat)
         return ids, ends
 
+    def _remember(self, vocab: pa.Array, old: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Known words and the new ones, or, where those are too many, the words that these texts met again."""
+        if len(self.known) + (~old).sum() <= MEMORY:
+            new = ~old
+            self.known = pa.concat_arrays([self.known, vocab.filter(pa.array(new))])
+            self.flat, self.first, self.size = flat, np.concatenate((self.first, first[new])), np.concatenate((self.size, size[new]))
+            return
+        keep = np.flatnonzero(old)[:MEMORY]
+        self.known, self.size = vocab.take(pa.array(keep)), size[keep]
+        stop = np.cumsum(self.size)
+        self.flat = flat[np.repeat(first[keep] - (stop - self.size), self.size) + np.arange(stop[-1] if len(stop) else 0)]
+        self.first = stop - self.size
+
 
 def cuts(ids: np.ndarray, ends: np.ndarray, window: int = WINDOW, mask_bits: int = MASK_BITS, least: int = MIN, most: int = MAX) -> list[list[int]]:
     """For each stream ids[ends[i]:ends[i + 1]], where its chunks end."""
@@ -121,7 +147,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, k
         if tokenizer not in _workers:
             _workers[tokenizer] = Encoder(tokenizer)
         enc = _workers[tokenizer]
-        for b in by_chars(batches, "t"):
+        for b in by_chars(batches, "t", 8_000_000):
             ids, ends = enc(b.column("t"), end_id)
             chunks: dict[bytes, tuple[int, bytes]] = {}
             docs_, recipes, sizes = [], [], []

@@ -165,9 +165,9 @@ def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text
             p2 = np.where(cv > 0, bi / np.maximum(cv, 1), 0.0)
             p1 = cw / max(left, 1)
             grid = lambda p, steps: np.where(p > 0, 1 + (-np.log2(np.where(p > 0, p, 1)) * steps).astype(np.int64), 0)
-            cell = np.column_stack((frequency_bucket(cv), grid(p2, P2_STEPS), grid(p1, P1_STEPS)))
-            cells, where = np.unique(cell, axis=0, return_inverse=True)
-            where = where.reshape(-1)
+            cell = frequency_bucket(cv) << 32 | grid(p2, P2_STEPS) << 16 | grid(p1, P1_STEPS)
+            cell, where = np.unique(cell, return_inverse=True)
+            cells = np.column_stack((cell >> 32, cell >> 16 & 0xFFFF, cell & 0xFFFF))
             sums_ = np.column_stack([np.bincount(where, x, len(cells)) for x in (n, n * p2, n * p1)])
         names = ["b", "i2", "i1"], ["n", "s2", "s1"]
         return pa.table({**{k: pa.array(cells[:, i], pa.int32()) for i, k in enumerate(names[0])}, **{k: pa.array(sums_[:, i], pa.float64()) for i, k in enumerate(names[1])}})

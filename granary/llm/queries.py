@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hash_forest, html_text, id_store, language_model, ngram_join, span_dedup, toxicity, url_filter
+from . import decontaminate, hash_forest, html_text, id_store, language_model, mixing, ngram_join, span_dedup, toxicity, url_filter
 from .common import Scratch, remainder, table
 
 
+#: The share of all tokens to keep, and the power that tempers the margins' own shares into targets.
+MIX_BUDGET, MIX_POWER = 0.8, 0.7
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, MIX_BUDGET, MIX_POWER).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and test item that it holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,5 +96,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {"op1_language_model": op1_language_model, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op5_decontaminate": op5_decontaminate, "op6_span_dedup": op6_span_dedup, "op7_hash_forest": op7_hash_forest, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_language_model": op1_language_model, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op4_mixing": op4_mixing, "op5_decontaminate": op5_decontaminate, "op6_span_dedup": op6_span_dedup, "op7_hash_forest": op7_hash_forest, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
 ORACLE = {"op2_url_filter": OP2_SQL}

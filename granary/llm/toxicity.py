@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_column, words
+from .common import bounded_sample, text_column, words
 
 #: Labelled rows to learn from at most (those with the smallest hash of their key), and tokens kept in the model.
 MAX_LABELLED, MAX_TOKENS = 40_000, 20_000
@@ -131,7 +131,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> ToxicityModel:
     """Learn from the labelled rows, at most max_labelled of them; only bounded counts reach the driver."""
     lab = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    lab = lab.orderBy(F.xxhash64("k"), "k").limit(max_labelled)  # so few rows that they may be broadcast
+    lab = bounded_sample(lab, F.xxhash64("k"), max_labelled)  # so few rows that they may be broadcast
     sample = docs.select(F.col(key).alias("k"), text_column(text).alias("t")).join(F.broadcast(lab), "k")
     sample = sample.withColumn("h", F.md5("t")).dropDuplicates(["h", "y"])  # copies of a text teach as one
 
