@@ -1 +1,66 @@
-STAGES = []
+"""From raw documents to token ids: the stages of a training corpus, each a function of (spark, docs, sf_dir).
+
+Every stage works on all rows that the one before kept, and its decisions take effect. All but the last return the
+columns of docs as they came. A null text is an empty one; rows with a null doc_id pass the near-duplicate stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm import decontaminate, id_store, mixing, ngram_join, toxicity
+from granary.llm.common import Scratch, remainder, table
+from granary.llm.queries import END_ID, MIX_BUDGET, MIX_POWER, tokenizer_path
+
+#: SQL can't express these stages; tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labelled rows with a remainder other than 0."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
+    return toxicity.with_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of linked documents stays; of equal rows, one."""
+    groups = ngram_join.components(docs)
+    first = groups.where("component_id = doc_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to its error budget, go."""
+    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+
+
+def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled by probabilities that fit the margins' target shares."""
+    return mixing.mix(docs, MIX_BUDGET, MIX_POWER).where("selected").select(*docs.columns)
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of what was written to a content-addressed store, read back from it."""
+    folder = Scratch(spark).path()
+    id_store.write_store(docs, folder, tokenizer_path(), END_ID)
+    return id_store.read_digests(spark, folder)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", sample_mix),
+    ("token ids", write_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.save(docs)
+    return docs
