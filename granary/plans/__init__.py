@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks
+from . import chunks, ground
 
-FAMILIES = (chunks,)
+FAMILIES = (chunks, ground)
 
 
 def queries() -> dict:
