@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import inspect
 import tempfile
 import time
 import uuid
@@ -76,6 +78,35 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def trim() -> None:
+    """Give memory that a large group has left free back to the system: workers live on, and two share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(f):
+    """f, which makes one table of one group's, or of two, with trim() after it."""
+
+    # Spark tells functions of one and of two tables apart by their parameters
+    if len(inspect.signature(f).parameters) == 1:
+
+        def g(t):
+            out = f(t)
+            trim()
+            return out
+    else:
+
+        def g(t, u):
+            out = f(t, u)
+            trim()
+            return out
+
+    return g
+
+
 def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
