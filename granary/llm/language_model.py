@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks_for, mix, pack, release, remainder, text_column, unpack, word_hashes, words
+from .common import U64, Scratch, blocks_for, mix, pack, release, remainder, text_column, trimmed, unpack, word_hashes, words
 from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
 
 #: The end token's place among the word hashes; no word gives it but with the odds of a hash collision.
@@ -124,10 +124,13 @@ def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text
         inverse, at, distinct = received(t)
         counts = np.concatenate([unpack(v[0], np.int64) for v in t.column("values").to_pylist()])
         part = np.repeat(t.column("extra").to_numpy(), np.diff(at))
-        by_part = np.zeros((PARTS, len(distinct)), np.int64)
-        np.add.at(by_part, (part, inverse), counts)
-        whole = by_part.sum(0)
-        own = by_part[part, inverse]
+        whole = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+        own, by_part = np.zeros(len(inverse), np.int64), []
+        for p in range(PARTS):
+            mine = np.flatnonzero(part == p)
+            of_part = np.bincount(inverse[mine], counts[mine], len(distinct)).astype(np.int64)
+            own[mine] = of_part[inverse[mine]]
+            by_part.append(int(of_part.sum()))
         out: dict[str, list] = {"block": [], "total": [], "own": []}
         for block, a, b in zip(t.column("block").to_pylist(), at[:-1], at[1:]):
             out["block"].append(block)
@@ -139,12 +142,12 @@ def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text
             {
                 "block": pa.array([*out["block"], -1], pa.int32()), "kind": pa.array([kind] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()),
                 "total": pa.array([*out["total"], None], pa.binary()), "own": pa.array([*out["own"], None], pa.binary()),
-                "n_distinct": pa.array([0] * n + [int((whole > 0).sum())], pa.int64()), "by_part": pa.array([None] * n + [by_part.sum(1).tolist()], pa.list_(pa.int64())),
+                "n_distinct": pa.array([0] * n + [int((whole > 0).sum())], pa.int64()), "by_part": pa.array([None] * n + [by_part], pa.list_(pa.int64())),
             }
         )
 
-    sent = blocked.applyInArrow(count, SENT)
-    answers = scratch.save(sent.groupBy("kind", "bucket").applyInArrow(total, "block int, kind int, bucket int, total binary, own binary, n_distinct long, by_part array<long>"))
+    sent = blocked.applyInArrow(trimmed(count), SENT)
+    answers = scratch.save(sent.groupBy("kind", "bucket").applyInArrow(trimmed(total), "block int, kind int, bucket int, total binary, own binary, n_distinct long, by_part array<long>"))
     del sent
     release(spark)
     sums = answers.where("block = -1 and kind = 0").agg(F.sum("n_distinct").alias("v"), *[F.sum(F.col("by_part")[i]).alias(f"p{i}") for i in range(PARTS)]).first()
@@ -172,7 +175,7 @@ def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text
         names = ["b", "i2", "i1"], ["n", "s2", "s1"]
         return pa.table({**{k: pa.array(cells[:, i], pa.int32()) for i, k in enumerate(names[0])}, **{k: pa.array(sums_[:, i], pa.float64()) for i, k in enumerate(names[1])}})
 
-    grid = blocked.cogroup(replies).applyInArrow(held_out, "b int, i2 int, i1 int, n double, s2 double, s1 double").groupBy("b", "i2", "i1").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")])
+    grid = blocked.cogroup(replies).applyInArrow(trimmed(held_out), "b int, i2 int, i1 int, n double, s2 double, s1 double").groupBy("b", "i2", "i1").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")])
     cells = np.array([(r.b, r.n, r.s2 / r.n, r.s1 / r.n) for r in grid.collect()]).reshape(-1, 4)
     weights = em(cells, vocabulary)
     del grid
@@ -196,4 +199,4 @@ def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text
             }
         )
 
-    return blocked.cogroup(replies).applyInArrow(final, OUT)
+    return blocked.cogroup(replies).applyInArrow(trimmed(final), OUT)
