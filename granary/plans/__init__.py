@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, ground
+from . import chunks, grids, ground, jobs, pages, search, tables
 
-FAMILIES = (chunks, ground)
+FAMILIES = (chunks, ground, tables, grids, pages, search, jobs)
 
 
 def queries() -> dict:
