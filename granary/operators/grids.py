@@ -21,10 +21,11 @@ HEADER_FILL, HEADER_FILL_SURE, SPREAD, SPREAD_SURE = 0.6, 0.7, 0.3, 0.2
 
 
 def expand_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """merges: file_id, sheet_idx, top, left, bottom, right. The first cell's value fills the range, marked merged."""
+    """merges: file_id, sheet_idx, top, left, bottom, right. The first cell's value fills the range; all
+    but the first are marked merged. A range whose first cell is empty has no cells."""
     area = merges.withColumn("row", F.explode(F.sequence("top", "bottom"))).withColumn("col", F.explode(F.sequence("left", "right")))
     master = cells.select(*SHEET, "sheet_name", F.col("row").alias("top"), F.col("col").alias("left"), "value")
-    filled = area.join(master, [*SHEET, "top", "left"]).select(*SHEET, "sheet_name", "row", "col", "value", F.lit(True).alias("merged"))
+    filled = area.join(master, [*SHEET, "top", "left"]).select(*SHEET, "sheet_name", "row", "col", "value", ((F.col("row") != F.col("top")) | (F.col("col") != F.col("left"))).alias("merged"))
     plain = cells.join(area.select(*SHEET, "row", "col"), [*SHEET, "row", "col"], "left_anti")
     return plain.select(*SHEET, "sheet_name", "row", "col", "value", F.lit(False).alias("merged")).unionByName(filled)
 

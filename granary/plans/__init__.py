@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, grids, ground, jobs, pages, search, sql, stream, tables
+from . import chunks, grids, ground, ingest, jobs, pages, search, sql, stream, tables
 
-FAMILIES = (chunks, ground, tables, grids, pages, search, jobs, sql, stream)
+FAMILIES = (chunks, ground, tables, grids, pages, search, jobs, ingest, sql, stream)
 
 
 def queries() -> dict:

@@ -89,7 +89,7 @@ ORACLE = {
  UNION ALL SELECT file_id, block_index, string_agg('- ' || key || ': ' || value, chr(10) ORDER BY r) FROM ({_KV}) GROUP BY ALL UNION ALL {_NOTE})
 SELECT file_id, block_index, '### ' || CASE block_type WHEN 'table' THEN 'Table' WHEN 'kv_pair' THEN 'Key-Value' ELSE 'Note' END || ' (rows ' || t + 1 || '-' || bo + 1 || ', cols ' || chr((65 + l)::INTEGER) || '-' || chr((65 + ri)::INTEGER) || ')' || chr(10) || body AS content
 FROM y JOIN body USING (file_id, block_index)""",
-    "merge_expand": "SELECT (n_nationkey * 3 + r)::INTEGER AS row, c::INTEGER AS col, n_name AS value, true AS merged FROM nation, range(0, 2) a(r), range(0, 3) b(c) WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey * 3, 0, n_name, false FROM nation WHERE n_nationkey % 2 = 1",
+    "merge_expand": "SELECT (n_nationkey * 3 + r)::INTEGER AS row, c::INTEGER AS col, n_name AS value, r > 0 OR c > 0 AS merged FROM nation, range(0, 2) a(r), range(0, 3) b(c) WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey * 3, 0, n_name, false FROM nation WHERE n_nationkey % 2 = 1",
     "col_letters": f"""SELECT o_orderkey AS i, CASE WHEN o_orderkey < 26 THEN {_LETTER('o_orderkey')} WHEN o_orderkey < 702 THEN {_LETTER('(o_orderkey // 26 - 1)')} || {_LETTER('o_orderkey % 26')}
  ELSE {_LETTER('((o_orderkey // 26 - 1) // 26 - 1)')} || {_LETTER('(o_orderkey // 26 - 1) % 26')} || {_LETTER('o_orderkey % 26')} END AS letter FROM orders WHERE o_orderkey <= 16000""",
     "header_dedupe": "SELECT o_custkey, string_agg(CASE WHEN n = 1 THEN o_orderstatus ELSE o_orderstatus || '_' || n - 1 END, ',' ORDER BY o_orderkey) AS headers FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders) GROUP BY o_custkey",
