@@ -9,19 +9,20 @@ from granary.operators import chunking as ck
 
 from .common import table
 
-MARKED_LINES = F.transform(
-    tx.lines(F.col("text")),
-    lambda line, i: F.when(i % 11 == 10, F.lit(""))
-    .when(i % 7 == 1, F.concat(F.lit("# "), line))
-    .when(i % 7 == 3, F.concat(F.lit("- "), line))
-    .when(i % 7 == 5, F.concat(F.lit("Bob: "), line))
-    .when((i % 7 == 6) & (F.col("lang") == "en"), F.upper(line))
-    .otherwise(line),
-)
+def marked_lines():
+    return F.transform(
+        tx.lines(F.col("text")),
+        lambda line, i: F.when(i % 11 == 10, F.lit(""))
+        .when(i % 7 == 1, F.concat(F.lit("# "), line))
+        .when(i % 7 == 3, F.concat(F.lit("- "), line))
+        .when(i % 7 == 5, F.concat(F.lit("Bob: "), line))
+        .when((i % 7 == 6) & (F.col("lang") == "en"), F.upper(line))
+        .otherwise(line),
+    )
 
 
 def marked(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.array_join(MARKED_LINES, "\n").alias("text"))
+    return table(spark, d, "documents").select("doc_id", "lang", "source", F.array_join(marked_lines(), "\n").alias("text"))
 
 
 def chunk_window(spark, d):
