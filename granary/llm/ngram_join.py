@@ -10,10 +10,11 @@ exact: every pair of different sets that links ends up in one component, and no
 3. First the cheap links: each prefix shingle has a hub, the class with the fewest shingles of its own, and the others
    are tested against it. This joins groups of near copies in as many tests as they have members.
 4. Then the signature tree, for what isn't joined yet: (shingle, class) entries in order of shingle and size are the
-   leaves of a tree whose nodes hold the OR of their entries' shingle bitmaps, their range of sizes, the most shingles
-   that any of them could share, and their component where it is one. The dual traversal of the tree with itself drops
-   node pairs without a common bit, of sizes too far apart, whose maximum possible overlap is too small, or of one
-   component; entries that meet at the leaves are tested on their whole sets.
+   leaves of a tree whose nodes hold the OR of their entries' bitmaps (of the shingles that they stand for, and of
+   their whole sets), their range of sizes, the most shingles that any of them could share, and their component where
+   it is one. The dual traversal of the tree with itself drops node pairs without a common shingle, of sizes too far
+   apart, whose maximum possible overlap is too small, or of one component; entries that meet at the leaves are tested
+   on their whole sets.
 
 Trees are built for slices of the shingle space; a shingle with many entries is cut into chunks whose pairs are
 separate trees, so no task's size follows a hot shingle.
@@ -34,15 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks_for, by_chars, mix, pack, release, text_column, unpack, word_hashes, words
+from .common import U64, Scratch, blocks_for, by_chars, mix, pack, release, text_column, trimmed, unpack, word_hashes, words
 from .components import connected_components
 from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
 
 WORDS = 5
 #: A pair links when NUM * intersection >= DEN * union: 0.8.
 NUM, DEN = 5, 4
-#: Entries of one shingle in a tree, a leaf's entries, a node's children, and a bitmap's 64-bit words.
-CHUNK, LEAF, FAN, BITMAP = 2_000, 16, 8, 16
+#: Entries of one shingle in a tree, a leaf's entries, a node's children, and the bitmaps' 64-bit words.
+CHUNK, LEAF, FAN, BITMAP, SKETCH = 2_000, 16, 8, 16, 16
 NULL_ID = 1 << 62
 
 
@@ -79,35 +80,51 @@ def prefix_length(n: int) -> int:
 # --- signature tree ------------------------------------------------------------------------------
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """A set's bitmap: a bit for each shingle, by the highest bits of its hash."""
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[(s >> U64(64 - (64 * SKETCH).bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 class Tree:
-    """Entries in their given order; level 0 are leaves' entries, each higher level groups the one below."""
+    """Entries in their given order; level 0 are leaves' entries, each higher level groups the one below.
 
-    def __init__(self, token: np.ndarray, n: np.ndarray, m: np.ndarray, label: np.ndarray):
+    A level has, for each node: the shingles that its entries stand for (bits in their order), the OR of its entries'
+    whole-set bitmaps, the least and the greatest size, the most shingles that others have too, the most shingles that
+    share a bit with another of their set, and the component, -1 where there are several."""
+
+    def __init__(self, token: np.ndarray, n: np.ndarray, m: np.ndarray, label: np.ndarray, sketch: np.ndarray):
         distinct, rank = np.unique(token, return_inverse=True)
         bit = rank * (64 * BITMAP) // max(len(distinct), 1)  # neighbours in the order share bits
         bitmap = np.zeros((len(token), BITMAP), U64)
         bitmap[np.arange(len(token)), bit // 64] = U64(1) << (bit % 64).astype(U64)
-        self.levels = [(bitmap, n, n, m, label)]
+        folded = n - np.bitwise_count(sketch).sum(1, dtype=np.int64)
+        self.levels = [(bitmap, sketch, n, n, m, folded, label)]
         fan = LEAF
-        while len(self.levels[-1][1]) > 1:
-            b, lo, hi, m, lab = self.levels[-1]
+        while len(self.levels[-1][2]) > 1:
+            b, s, lo, hi, m, c, lab = self.levels[-1]
             at = np.arange(0, len(lo), fan)
             first, last = np.minimum.reduceat(lab, at), np.maximum.reduceat(lab, at)
             one = np.where(first == last, first, -1)
-            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(m, at), one))
+            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.bitwise_or.reduceat(s, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(m, at), np.maximum.reduceat(c, at), one))
             fan = FAN
 
     def may_link(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        bits, lo, hi, m, label = self.levels[level]
+        bits, sketch, lo, hi, m, folded, label = self.levels[level]
+        least = DEN * (lo[a] + lo[b])  # intersection >= 4 / 9 of the sizes' sum
         ok = (NUM * hi[a] >= DEN * lo[b]) & (NUM * hi[b] >= DEN * lo[a])
-        # intersection >= 4 / 9 of the sizes' sum; no more can be shared than either has of others' shingles
-        ok &= np.minimum(m[a], m[b]) * (NUM + DEN) >= DEN * (lo[a] + lo[b])
+        ok &= np.minimum(m[a], m[b]) * (NUM + DEN) >= least
         ok &= (label[a] != label[b]) | (label[a] < 0)
         at = np.flatnonzero(ok)
         ok[at] = (bits[a[at]] & bits[b[at]]).any(1)
+        at = np.flatnonzero(ok)
+        # of the shared shingles, those without a bit of their own are at most as many as in either set
+        common = np.bitwise_count(sketch[a[at]] & sketch[b[at]]).sum(1, dtype=np.int64) + np.minimum(folded[a[at]], folded[b[at]])
+        ok[at] = common * (NUM + DEN) >= least[at]
         return ok
 
-    def pairs(self, start: np.ndarray | None = None, limit: int = 1 << 20):
+    def pairs(self, limit: int = 1 << 17):
         """Pairs of entries (a < b) that no node pair above them rules out, a bounded number at a time."""
         top = len(self.levels) - 1
         todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -130,13 +147,13 @@ class Tree:
                 todo.append((level - 1, x[ok], y[ok]))
 
 
-def candidate_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, m: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, m: np.ndarray, label: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of documents that share a token and may link. side: 0 and 1 meet each other, 2 meets its own."""
     order = np.lexsort((doc, n, token))
-    token, doc, n, m, label, side = (x[order] for x in (token, doc, n, m, label, side))
+    token, doc, n, m, label, side, sketch = (x[order] for x in (token, doc, n, m, label, side, sketch))
     _, dense = np.unique(label, return_inverse=True)
     found = [np.zeros((0, 2), np.int64)]
-    for a, b in Tree(token, n, m, dense).pairs():
+    for a, b in Tree(token, n, m, dense, sketch).pairs():
         ok = (token[a] == token[b]) & (doc[a] != doc[b]) & ((side[a] != side[b]) | (side[a] == 2))
         if ok.any():
             x, y = doc[a[ok]], doc[b[ok]]
@@ -216,8 +233,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         df = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "df": pa.array([pack(df[inverse[a:b]]) for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
-    sent = blocked.cogroup(reps.groupBy("block")).applyInArrow(count, SENT)
-    answers = scratch.save(sent.groupBy("bucket").applyInArrow(total, "block int, bucket int, df binary"))
+    sent = blocked.cogroup(reps.groupBy("block")).applyInArrow(trimmed(count), SENT)
+    answers = scratch.save(sent.groupBy("bucket").applyInArrow(trimmed(total), "block int, bucket int, df binary"))
     del sent
     release(spark)
 
@@ -226,7 +243,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     given = given.unionByName(answers, allowMissingColumns=True)
 
     def prefixes(t: pa.Table, g: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("kind", "id", "n", "m", "shingles", "tokens")}
+        out: dict[str, list] = {c: [] for c in ("id", "n", "m", "shingles", "sketch", "tokens")}
         is_answer = pc.is_valid(g.column("df"))
         r, got = g.filter(pc.invert(is_answer)), g.filter(is_answer)
         if t.num_rows and r.num_rows:
@@ -242,12 +259,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                 first = np.lexsort((s, f))[: prefix_length(n)]
                 tokens = s[first][f[first] > 1]
                 if len(tokens):
-                    for c, v in zip(out, (0, i, n, m, s[f > 1].tobytes(), tokens.view(np.int64).tolist())):
+                    for c, v in zip(out, (i, n, m, s[f > 1].tobytes(), sketch_of(s), tokens.view(np.int64).tolist())):
                         out[c].append(v)
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), types)})
 
-    found = blocked.cogroup(given.groupBy("block")).applyInArrow(prefixes, "kind int, id long, n long, m long, shingles binary, tokens array<long>")
+    found = blocked.cogroup(given.groupBy("block")).applyInArrow(trimmed(prefixes), "id long, n long, m long, shingles binary, sketch binary, tokens array<long>")
     sets = scratch.save(found)
     del found
     release(spark)
@@ -273,13 +290,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     left = left.withColumn("other", other).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     side = F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1)
     slice_ = F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(4 * blocks))
-    left = left.select(slice_.alias("slice"), F.xxhash64("token", "lo", "hi").alias("token"), "id", "n", "m", "label", side.alias("side"))
+    left = left.select(slice_.alias("slice"), F.xxhash64("token", "lo", "hi").alias("token"), "id", "n", "m", "label", side.alias("side")).join(sets.select("id", "sketch"), "id")
 
     def tree(t: pa.Table) -> pa.Table:
-        a, b = candidate_pairs(*(t.column(c).to_numpy() for c in ("token", "id", "n", "m", "label", "side")))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, SKETCH)
+        a, b = candidate_pairs(*(t.column(c).to_numpy() for c in ("token", "id", "n", "m", "label", "side")), sketch)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = left.groupBy("slice").applyInArrow(tree, "a long, b long").distinct()
+    more = left.groupBy("slice").applyInArrow(trimmed(tree), "a long, b long").distinct()
     more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"))
     release(spark)
     links = links.union(verify(more, whole))
