@@ -5,7 +5,7 @@ that it stands in; both are log-odds learned from labelled pages: pages that mar
 <main>, a bounded sample of them. One linear scan (Kadane) finds the contiguous region with the greatest sum, and the
 region's text is read out block by block. Inside the region, elements that are never main text (scripts, styles,
 forms, menus, asides, adverts, comment sections and the like, by name or by a word of their class, id or role) are
-skipped.
+skipped, and cost nothing where they stand in an <article> or <main>.
 
 Cases: null html gives the empty text; so does a page without words outside such elements. Repeated rows are treated
 alike. Unclosed elements end where an enclosing one ends; a tag cut off by the end of the page is dropped. Very long
@@ -36,6 +36,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 NEVER = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "head", "title", "nav", "aside", "footer", "form", "button", "select", "textarea", "input", "menu", "dialog", "noembed", "noframes", "xmp"}
 NEVER_WORDS = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promotion", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
 MAIN = {"article", "main"}
+SKIP = "skip"
 LANDMARK = {"html", "head", "body", "header", "section"} | NEVER | MAIN
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)(>|\Z|(?=<))|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -66,10 +67,11 @@ def parse(page: str):
             break  # cut off in the middle of a tag
         if m[1]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            was = stack[at] if at is not None else ("", "", False)
             if at is not None:
                 del stack[at:]
             top = stack[-1] if stack else ("", "", False)
-            out.append(("close", name, name, top[1], top[2]))
+            out.append(("close", name, name, SKIP if was[1] == SKIP else top[1], top[2]))
             continue
         top = stack[-1] if stack else ("", "", False)
         marked = ""
@@ -78,6 +80,8 @@ def parse(page: str):
             marked = min(found, default="")
         never = top[2] or name in NEVER or bool(marked) or (name == "header" and top[1] not in MAIN)
         context = marked or (name if name in LANDMARK else top[1])
+        if never and (top[1] in MAIN or top[1] == SKIP):
+            context = SKIP  # left out of a main text, but no reason to end it
         out.append(("open", name, f"{name}.{marked}" if marked else name, context, never))
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
@@ -91,6 +95,11 @@ def parse(page: str):
     return out
 
 
+def tag_key(kind: str, value: str, context: str) -> str:
+    """A tag in a marked main text is another than that tag elsewhere: lists are not menus there."""
+    return ("/" if kind == "close" else "") + value + (f"@{context}" if context in MAIN else "")
+
+
 def label(page: str):
     """Counts of words by context and of tags, in and out of a page's marked main text; None if none is marked."""
     tokens = parse(page)
@@ -98,6 +107,8 @@ def label(page: str):
         return None
     counts, depth = Counter(), 0
     for kind, name, value, context, never in tokens:
+        if context == SKIP:
+            continue
         if kind == "text":
             n = len(value.split())
             if n:
@@ -105,10 +116,10 @@ def label(page: str):
         else:
             if kind == "close" and name in MAIN and depth:
                 depth -= 1
-                counts["tag", "/" + name, False] += 1
+                counts["tag", tag_key(kind, value, context), False] += 1
             else:
                 inside = depth > 0 and not never
-                counts["tag", value if kind == "open" else "/" + value, inside] += 1
+                counts["tag", tag_key(kind, value, context), inside] += 1
                 depth += kind == "open" and name in MAIN
     return counts
 
@@ -126,7 +137,7 @@ class PageModel:
             if kind == "word":
                 self.word[name] = max(-3.0, min(1.0, odds))
             else:
-                self.tag[name] = max(-3.0, min(-0.05, (odds - 3.0) / 2))
+                self.tag[name] = max(-3.0, min(-0.05, odds if "@" in name else (odds - 3.0) / 2))
 
     def of_word(self, context: str, never: bool) -> float:
         return self.word.get(context, -1.0 if never else 1.0) if not never else min(self.word.get(context, -1.0), -0.25)
@@ -134,8 +145,9 @@ class PageModel:
     def of_tag(self, name: str) -> float:
         w = self.tag.get(name)
         if w is None:
+            name, _, within = name.partition("@")
             base = name.lstrip("/").split(".")[0]
-            w = -2.0 if "." in name or base in NEVER else -0.1 if base in INLINE or base in ("p", "div", "h1", "h2", "h3", "h4", "li", "blockquote", "pre") else -0.5
+            w = -0.1 if within else -2.0 if "." in name or base in NEVER else -0.1 if base in INLINE or base in ("p", "div", "h1", "h2", "h3", "h4", "li", "blockquote", "pre") else -0.5
         return w
 
 
@@ -145,11 +157,13 @@ def main_text(page: str | None, model: PageModel) -> str:
     first = start = 0
     last = -1
     for i, (kind, _name, value, context, never) in enumerate(tokens):
-        if kind == "text":
+        if context == SKIP:
+            pass
+        elif kind == "text":
             n = len(value.split())
             total += n * model.of_word(context, never) if n else 0.0
         else:
-            total += model.of_tag(value if kind == "open" else "/" + value)
+            total += model.of_tag(tag_key(kind, value, context))
         if total > best:
             best, first, last = total, start, i
         if total <= 0:
