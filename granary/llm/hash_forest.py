@@ -134,7 +134,9 @@ def search(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
         if left.num_rows and right.num_rows:
             (ids, x), (qids, q) = arrays(left), arrays(right)
             forest = Forest(np.hstack((x, pad(x))), w)
-            for qid, v, at in zip(qids.tolist(), q, forest.candidates(np.hstack((q, np.zeros((len(q), 1)))), int(share * len(x)))):
+            # all trees hold the same rows: so many places have k rows at least besides those of the query's id
+            least = max(int(share * len(x)), (k + int(np.unique(ids, return_counts=True)[1].max())) * trees)
+            for qid, v, at in zip(qids.tolist(), q, forest.candidates(np.hstack((q, np.zeros((len(q), 1)))), least)):
                 at = at[ids[at] != qid]
                 s = (x[at] * v).sum(1)  # row by row the same sum, whatever the shard
                 if len(at) > k:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bounded_sample, by_chars, text_column, word_hashes, words
+from .common import Scratch, bounded_sample, by_chars, text_column, trim, word_hashes, words
 
 TOPICS, DIM, SAMPLE, SEED = 8, 256, 4_000, 11
 MAX_CELLS, ROUNDS, TOLERANCE = 100_000, 200, 1e-9
@@ -89,6 +89,8 @@ def with_profile(docs: DataFrame, topics: Topics | None, text: str = "text") ->
             n, x = bags(b.column(text))
             cols = [pa.array(n)] + ([pa.array(topics.nearest(x))] if topics else [])
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(f.name for f in new)])
+            del n, x, cols
+            trim()
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(profile, T.StructType([*kept, *new]))
 
@@ -104,15 +106,17 @@ def _shares(observed: dict, target: dict | None, power: float) -> dict:
     return {v: x / s for v, x in want.items()}
 
 
-def rake(values: list[np.ndarray], tokens: np.ndarray, targets: list[dict | None], power: float) -> np.ndarray:
+def rake(values: list[list[str]], tokens: np.ndarray, targets: list[dict | None], power: float) -> np.ndarray:
     """Weights of cells: values[j][i] is cell i's value in margin j."""
     w = np.ones(len(tokens))
     coded = []
     for v, target in zip(values, targets):
-        names, code = np.unique(v, return_inverse=True)
+        names = sorted(set(v))
+        at = {n: i for i, n in enumerate(names)}
+        code = np.array([at[n] for n in v], dtype=np.int64)
         sums = np.bincount(code, tokens, len(names))
-        share = _shares(dict(zip(names.tolist(), sums.tolist())), target, power)
-        coded.append((code, np.array([share.get(n, 0.0) for n in names.tolist()])))
+        share = _shares(dict(zip(names, sums.tolist())), target, power)
+        coded.append((code, np.array([share.get(n, 0.0) for n in names])))
     total = tokens.sum()
     if total <= 0:
         return w
@@ -193,7 +197,7 @@ def mix(docs: DataFrame, budget: float, power: float = 0.5, targets: dict | None
     if cells.count() <= max_cells:
         got = sorted(map(tuple, cells.collect()))
         tokens = np.array([g[-1] for g in got], dtype=float)
-        w = rake([np.array([g[j] for g in got], dtype=object).astype(str) for j in range(3)], tokens, wanted, power) if got else np.zeros(0)
+        w = rake([[g[j] for g in got] for j in range(3)], tokens, wanted, power) if got else np.zeros(0)
         c = factor(w, tokens, budget)
         p = np.minimum(1.0, w * c) if np.isfinite(c) else np.ones(len(w))
         probability = spark.createDataFrame([(*g[:-1], float(a), float(b)) for g, a, b in zip(got, w, p)], ", ".join(f"{m} string" for m in margins) + ", weight double, probability double")

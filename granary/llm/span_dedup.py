@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks_for, mix, pack, release, text_column, unpack
+from .common import U64, Scratch, blocks_for, mix, pack, release, text_column, trimmed, unpack
 from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
 
 MIN_UNITS, MIN_WORDS = 3, 20
@@ -113,8 +113,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_units: i
         n = t.num_rows
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "mine": pa.array([pack(mine[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())}) if n else t
 
-    sent = blocked.applyInArrow(first_places, SENT)
-    answers = scratch.save(sent.groupBy("bucket").applyInArrow(owners, "block int, bucket int, mine binary"))
+    sent = blocked.applyInArrow(trimmed(first_places), SENT)
+    answers = scratch.save(sent.groupBy("bucket").applyInArrow(trimmed(owners), "block int, bucket int, mine binary"))
     del sent
     release(spark)
 
@@ -141,4 +141,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_units: i
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), types)})
 
-    return blocked.cogroup(answers.groupBy("block")).applyInArrow(remove, OUT)
+    return blocked.cogroup(answers.groupBy("block")).applyInArrow(trimmed(remove), OUT)

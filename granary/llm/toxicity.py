@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, text_column, words
+from .common import bounded_sample, text_column, trim, words
 
 #: Labelled rows to learn from at most (those with the smallest hash of their key), and tokens kept in the model.
 MAX_LABELLED, MAX_TOKENS = 40_000, 20_000
@@ -197,5 +197,7 @@ def with_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> Da
             s = pa.array(scores, pa.float64())
             cols = [*b.columns, s, pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(passages, passage)]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *OUT.names])
+            del cols, scores, passages, s
+            trim()
 
     return df.mapInArrow(score, T.StructType([*kept, *OUT.fields]))
