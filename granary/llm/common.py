@@ -155,9 +155,14 @@ def words(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes, offs, vocab
 
 
+def strings(a: pa.Array) -> list[str]:
+    """As to_pylist() of an array of strings, several times faster."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_hashes(vocab: pa.Array) -> np.ndarray:
     h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in vocab.to_pylist()), U64, len(vocab))
+    return np.fromiter(map(h, strings(vocab)), U64, len(vocab))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

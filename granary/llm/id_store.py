@@ -2,7 +2,7 @@
 
 encode: texts become id streams with an end id each. A rolling hash over the last WINDOW ids cuts a stream into chunks
 (MIN to MAX ids, about 2 ** MASK_BITS), so that equal passages give equal chunks wherever they stand. The store has
-three Parquet tables in one folder:
+three Parquet tables, table=chunks, table=recipes and table=manifest, in one folder:
   chunks    digest (BLAKE2b, 16 bytes), n, ids (little-endian, 2 bytes an id, or 4 where the vocabulary needs it): each
             chunk once;
   recipes   part, pos, doc_id, start, n_tokens, digests (one after the other), root: a document's chunks in order, in
@@ -23,9 +23,11 @@ empty store. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import unicodedata
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_chars, text_column, words
+from .common import Scratch, by_chars, strings, text_column, trim, words
 
 WINDOW, MASK_BITS, MIN, MAX = 16, 8, 64, 1024
 DIGEST = 16
 #: Words that a worker remembers at most.
-MEMORY = 1_500_000
+MEMORY = 500_000
 _workers: dict = {}
 
 
@@ -56,64 +58,115 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+#: Words that share one string when they are encoded together.
+TOGETHER = 200
+#: ASCII punctuation but the apostrophe begins a new piece of the pattern after these letters and digits, which no
+#: normalisation joins to what follows: it may be looked up by itself.
+PUNCTUATED = r"([0-9A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ſ])([!-&(-/:-@\[-`{-~])"
+
+
 class Encoder:
     """Ids of texts by a tokenizer file that lower-cases; one for each worker process and file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a process for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known, self.flat, self.first, self.size = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends_word = None
+        # words of letters that the normaliser leaves as they are need no more than their bytes and the merges
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if suffix:
+            self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _singly(self, found: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+
+    def _together(self, found: list[str]) -> list[list[int]]:
+        """Of words of small letters alone, normalised: each is one piece of the tokenizer's pattern, and one of its ids
+        ends a word."""
+        if self.ends_word is None:
+            return self._singly(found)
+        out: list[list[int]] = []
+        parts = [found[i : i + TOGETHER] for i in range(0, len(found), TOGETHER)]
+        for part, e in zip(parts, self.lean.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = e.ids
+            stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                out += [ids[a:b] for a, b in zip([0, *stops], stops)]
+            else:  # not such a tokenizer after all
+                out += self._singly(part)
+        return out
+
+    def _encode(self, found: list[str]) -> list[list[int]]:
+        plain = [w.isalpha() and w.lower() == w and (w.isascii() or unicodedata.is_normalized("NFC", w)) for w in found]
+        letters = iter(self._together(list(compress(found, plain))))
+        others = iter(self._singly([w for w, p in zip(found, plain) if not p]))
+        return [next(letters) if p else next(others) for p in plain]
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts, each with its end id."""
         # special tokens are told by their exact letters, before the tokenizer lower-cases: A-Z wait for it then
         lower = not pc.any(pc.match_substring(texts, "<|")).as_py()
+        if lower:
+            texts = pc.replace_substring_regex(texts, PUNCTUATED, r"\1 \2")
         codes, offs, vocab = words(texts, lower=lower)
-        at = pc.index_in(vocab, value_set=self.known)
-        new = vocab.filter(pc.is_null(at))
-        old = at.is_valid().to_numpy(zero_copy_only=False)
-        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)] + [[end_id]]
+        found, get = strings(vocab), self.known.get
+        at = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+        if len(self.known) + (at < 0).sum() > MEMORY:  # keep the words that these texts met again
+            old = np.flatnonzero(at >= 0)[:MEMORY]
+            size, first, flat = self.size[at[old]], self.first[at[old]], self.flat
+            stop = np.cumsum(size)
+            self.flat = flat[np.repeat(first - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+            self.first, self.size = stop - size, size
+            self.known = {found[i]: k for k, i in enumerate(old.tolist())}
+            at[:] = -1
+            at[old] = np.arange(len(old))
+        new = np.flatnonzero(at < 0)
+        fresh = [found[i] for i in new.tolist()]
+        got = self._encode(fresh) + [[end_id]]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum()))))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        # each word of these texts, and the end: where its ids begin, and how many there are
-        first, size = np.empty(len(vocab) + 1, np.int64), np.empty(len(vocab) + 1, np.int64)
-        first[:-1][old], size[:-1][old] = self.first[at[old]], self.size[at[old]]
-        first[:-1][~old], size[:-1][~old] = starts[:-1], sizes[:-1]
-        first[-1], size[-1] = starts[-1], 1
+        first = np.concatenate((self.first, len(self.flat) + np.cumsum(sizes) - sizes))
+        size = np.concatenate((self.size, sizes))
+        at[new] = len(self.first) + np.arange(len(new))
+        self.known.update(zip(fresh, at[new].tolist()))
+        self.flat, self.first, self.size = flat[:-1], first[:-1], size[:-1]  # without the end
         n = np.diff(offs)
-        codes = np.insert(codes, offs[1:], len(vocab)) if len(n) else codes
+        at = np.append(at, len(first) - 1)
+        codes = at[np.insert(codes, offs[1:], len(found)) if len(n) else codes]
         each = size[codes]
         stop = np.cumsum(each)
         ids = flat[np.repeat(first[codes] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)]
         ends = np.concatenate(([0], stop))[np.concatenate(([0], np.cumsum(n + 1)))]
-        self._remember(vocab, old, first[:-1], size[:-1], flat)
         return ids, ends
 
-    def _remember(self, vocab: pa.Array, old: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
-        """Known words and the new ones, or, where those are too many, the words that these texts met again."""
-        if len(self.known) + (~old).sum() <= MEMORY:
-            new = ~old
-            self.known = pa.concat_arrays([self.known, vocab.filter(pa.array(new))])
-            self.flat, self.first, self.size = flat, np.concatenate((self.first, first[new])), np.concatenate((self.size, size[new]))
-            return
-        keep = np.flatnonzero(old)[:MEMORY]
-        self.known, self.size = vocab.take(pa.array(keep)), size[keep]
-        stop = np.cumsum(self.size)
-        self.flat = flat[np.repeat(first[keep] - (stop - self.size), self.size) + np.arange(stop[-1] if len(stop) else 0)]
-        self.first = stop - self.size
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray, window: int = WINDOW, mask_bits: int = MASK_BITS, least: int = MIN, most: int = MAX) -> list[list[int]]:
     """For each stream ids[ends[i]:ends[i + 1]], where its chunks end."""
-    h = np.zeros(len(ids), np.uint64)
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    for j in range(window):  # h[i] = sum of x[i - j] * 3 ** j: the hash that rolls one id at a time
-        h[j:] += x[: len(x) - j] * np.uint64(pow(3, j))
+    # h[i] = sum over j < window of x[i - j] * 3 ** j, as one id more and one less would roll it; by prefix sums here
+    n = len(ids)
+    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h *= _powers(pow(3, -1, 1 << 64), n)
+    np.cumsum(h, out=h)
+    h[window:] -= h[:-window].copy() if n > window else h[:0]
+    h *= _powers(3, n)
     marked = np.flatnonzero((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - mask_bits) == 0) + 1
     out, i = [], 0
     marks = marked.tolist()
@@ -139,6 +192,11 @@ def cuts(ids: np.ndarray, ends: np.ndarray, window: int = WINDOW, mask_bits: int
     return out
 
 
+def _read(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """One of the tables that are written together; one without rows has no folder."""
+    return spark.read.schema(f"{schema}, table string").parquet(folder).where(F.col("table") == name).drop("table")
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> None:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_column(text).alias("t"))
@@ -173,16 +231,15 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, k
                 ],
                 names=["is_recipe", "doc_id", "body", "n", "ids"],
             )
+            del ids, chunks, recipes
+            trim()
 
     made = rows.mapInArrow(encode, "is_recipe boolean, doc_id long, body binary, n long, ids binary")
     # one pass over the texts: a chunk is kept once, equal recipes of one id are counted
     once = made.groupBy("is_recipe", "doc_id", "body", "n").agg(F.first("ids").alias("ids"), F.count("*").alias("copies"))
-    staged = scratch.path()
-    once.write.option("compression", "zstd").partitionBy("is_recipe").parquet(staged)
-    schema = "doc_id long, body binary, n long, ids binary, copies long, is_recipe boolean"
-    both = spark.read.schema(schema).parquet(staged)
-    both.where("not is_recipe").select(F.col("body").alias("digest"), "n", "ids").write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    recipes = both.where("is_recipe").select("doc_id", F.col("n").alias("n_tokens"), F.col("body").alias("digests"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    kind = F.when(F.col("is_recipe"), "unordered").otherwise("chunks")
+    once.select("doc_id", F.col("body").alias("digest"), "n", "ids", "copies", kind.alias("table")).write.option("compression", "zstd").partitionBy("table").parquet(folder)
+    recipes = _read(spark, folder, "unordered", "doc_id long, digest binary, n long, copies long").withColumnRenamed("digest", "body").select("doc_id", F.col("n").alias("n_tokens"), F.col("body").alias("digests"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     # ascending order: ranges of doc_id, each with its tokens counted; a range's start is the sum of those before it
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "digests", "copy").withColumn("part", F.spark_partition_id())
     ordered = scratch.save(ordered)
@@ -202,10 +259,11 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, k
         return pa.table({"part": t.column("part"), "pos": pa.array(range(len(order)), pa.int64()), "doc_id": t.column("doc_id"), "start": pa.array(start, pa.int64()), "n_tokens": t.column("n_tokens"), "digests": t.column("digests"), "root": pa.array(roots, pa.binary())})
 
     final = ordered.join(F.broadcast(offset), "part").groupBy("part").applyInArrow(finish, "part int, pos long, doc_id long, start long, n_tokens long, digests binary, root binary")
-    final.write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    final.write.option("compression", "zstd").parquet(f"{folder}/table=recipes")
+    scratch.paths[f"{folder}/table=unordered"] = True
     scratch.drop()
 
-    manifest(spark, folder).write.parquet(f"{folder}/manifest")
+    manifest(spark, folder).write.parquet(f"{folder}/table=manifest")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,11 +274,11 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
         roots = t.column("root").to_pylist()
         return pa.table({"part": t.column("part")[:1], "n_docs": [t.num_rows], "n_tokens": [int(t.column("n_tokens").to_numpy().sum())], "root": pa.array([merkle([roots[i] for i in order])], pa.binary())})
 
-    return spark.read.parquet(f"{folder}/recipes").select("part", "pos", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, n_docs long, n_tokens long, root binary")
+    return spark.read.parquet(f"{folder}/table=recipes").select("part", "pos", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, n_docs long, n_tokens long, root binary")
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> None:
-    stored, now = (sorted(map(tuple, x.collect())) for x in (spark.read.parquet(f"{folder}/manifest"), manifest(spark, folder)))
+    stored, now = (sorted(map(tuple, x.collect())) for x in (spark.read.parquet(f"{folder}/table=manifest"), manifest(spark, folder)))
     if stored != now:
         raise ValueError(f"the manifest of {folder} doesn't fit its recipes")
 
@@ -249,6 +307,9 @@ def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return out
 
 
+ARROW = {"long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+
+
 def _pieces(spark: SparkSession, folder: str, value: str, kind: str, make) -> DataFrame:
     """doc_id, part, pos, start, n_tokens, pieces [(seq, n, value)]: value made from each chunk's stored bytes."""
 
@@ -258,7 +319,7 @@ def _pieces(spark: SparkSession, folder: str, value: str, kind: str, make) -> Da
             for x, y in zip(raw, d):
                 if digest(x) != y:
                     raise ValueError(f"chunk {y.hex()} of {folder} is damaged")
-            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array([make(x, k) for x, k in zip(raw, n)])], names=["digest", "n", value])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array([make(x, k) for x, k in zip(raw, n)], ARROW[kind])], names=["digest", "n", value])
 
     def split(batches):
         for b in batches:
@@ -272,8 +333,8 @@ def _pieces(spark: SparkSession, folder: str, value: str, kind: str, make) -> Da
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "pos", "doc_id", "start", "n_tokens", "seq", "digest"])
 
-    chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "n", "ids").mapInArrow(check, f"digest binary, n long, {value} {kind}")
-    recipes = spark.read.parquet(f"{folder}/recipes").select("part", "pos", "doc_id", "start", "n_tokens", "digests", "root").mapInArrow(split, "part int, pos long, doc_id long, start long, n_tokens long, seq int, digest binary")
+    chunks = _read(spark, folder, "chunks", "digest binary, n long, ids binary").mapInArrow(check, f"digest binary, n long, {value} {kind}")
+    recipes = spark.read.parquet(f"{folder}/table=recipes").select("part", "pos", "doc_id", "start", "n_tokens", "digests", "root").mapInArrow(split, "part int, pos long, doc_id long, start long, n_tokens long, seq int, digest binary")
     # left: a chunk that is missing shows as a null
     joined = recipes.join(chunks, "digest", "left")
     return joined.groupBy("part", "pos", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("seq", "n", value))).alias("pieces"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, text_column, trim, words
+from .common import bounded_sample, strings, text_column, trim, words
 
 #: Labelled rows to learn from at most (those with the smallest hash of their key), and tokens kept in the model.
 MAX_LABELLED, MAX_TOKENS = 40_000, 20_000
@@ -80,7 +80,7 @@ def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
 def batch_scores(texts, weights: dict):
     """Each text's number of tokens and its maximal segments."""
     codes, offs, vocab = words(texts)
-    w = np.fromiter((weights.get(t, 0.0) for t in vocab.to_pylist()), np.float64, len(vocab)) - DRIFT
+    w = np.fromiter((weights.get(t, 0.0) for t in strings(vocab)), np.float64, len(vocab)) - DRIFT
     s = w[codes] if len(codes) else np.zeros(0)
     hot = np.concatenate(([0], np.cumsum(s > 0)))
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
