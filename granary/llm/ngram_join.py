@@ -248,12 +248,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         r, got = g.filter(pc.invert(is_answer)), g.filter(is_answer)
         if t.num_rows and r.num_rows:
             ids, sets = chosen(t, r)
-            keys = np.unique(np.concatenate([np.zeros(0, U64), *sets]))
+            _, at = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_inverse=True)
             packed, order = got.column("df").to_pylist(), np.argsort(got.column("bucket").to_numpy())
             df = np.concatenate([np.zeros(0, np.int64), *(unpack(packed[i], np.int64) for i in order)])
+            df, end = df[at], 0
             for i, s in zip(ids, sets):
-                f = df[np.searchsorted(keys, s)]
-                n, m = len(s), int((f > 1).sum())
+                f, end = df[end : end + len(s)], end + len(s)
+                n, m = len(s), int(np.count_nonzero(f > 1))
                 if NUM * m < DEN * n:
                     continue
                 first = np.lexsort((s, f))[: prefix_length(n)]
