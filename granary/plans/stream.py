@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from granary.streaming import ingest
 
+from . import chunks
+from . import ingest as batch
+
 
 def work_dir(spark: SparkSession) -> str:
     """In the folder that the cluster shares; where it names none, a temporary one of this machine."""
@@ -56,6 +59,8 @@ def stream_windows(spark, d):
 
 QUERIES = {f.__name__: f for f in (stream_ingest, stream_dedupe, stream_windows)}
 ORACLE = {
+    "stream_ingest": f"""WITH {batch._RAW}, {chunks._PACK.format(m=400, o=40)}, each AS (SELECT doc_id, lang, unnest(range(0, len(cs))) AS chunk_index, unnest(cs) AS content FROM chunked)
+SELECT doc_id, chunk_index, md5(lang || ':' || content) AS content_hash FROM each""",
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_dedupe": "SELECT DISTINCT lang AS domain_id, md5(text) AS content_hash FROM documents",
 }
