@@ -113,7 +113,7 @@ _PROSE = "CASE WHEN len(cs) = 0 THEN [''] ELSE cs END"
 
 ORACLE = {
     "chunk_window": WINDOWS.format(cols="doc_id", m=400, s=360),
-    "chunk_window_stats": f"SELECT lang, count(*) AS n_chunks, count(DISTINCT md5(content)) AS n_distinct, sum(len(regexp_extract_all(content, '\\S+'))) AS n_tokens, max(len(regexp_extract_all(content, '\\S+'))) AS longest FROM ({WINDOWS.format(cols='lang', m=100, s=90)}) GROUP BY lang",
+    "chunk_window_stats": f"SELECT lang, count(*) AS n_chunks, count(DISTINCT md5(content)) AS n_distinct, sum(len(regexp_extract_all(content, '\\S+')))::BIGINT AS n_tokens, max(len(regexp_extract_all(content, '\\S+'))) AS longest FROM ({WINDOWS.format(cols='lang', m=100, s=90)}) GROUP BY lang",
     "block_split": f"WITH {_MARKED} SELECT doc_id, unnest(range(0, len(bs))) AS block_index, unnest(bs) AS block FROM listed",
     "chunk_structured": f"WITH {_MARKED}, {_PACK.format(m=100, o=10)} SELECT doc_id, unnest(range(0, len(cs))) AS chunk_index, unnest(cs) AS content FROM chunked",
     "chunk_prose": f"""WITH {_MARKED}, {_PACK.format(m=60, o=8)}

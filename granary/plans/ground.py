@@ -38,7 +38,7 @@ def _two(spark, d):
 
 def ground_personal(spark, d):
     out = g.ground(_two(spark, d), "text", "ref", "personal")
-    return out.select("o_orderkey", "grounded", F.transform("groundings", lambda x: x["start"]).alias("starts"))
+    return out.select("o_orderkey", "grounded", F.array_join(F.transform("groundings", lambda x: x["start"].cast("string")), ",").alias("starts"))
 
 
 def ground_auto(spark, d):
@@ -92,7 +92,7 @@ ORACLE = {
 FROM (SELECT o_orderkey, e, ({_SIMPLE_DATE})::TIMESTAMP AS resolved FROM ({_O}) o JOIN (VALUES {_V(_SIMPLE)}) v(j, e, k) ON o.o_orderkey % {len(_SIMPLE)} = v.j)""",
     "ground_weekday": f"""SELECT o_orderkey, 'Visit: ' || {_YMD.format('resolved')} || ' [' || e || '].' AS grounded, resolved, c::DOUBLE AS confidence
 FROM (SELECT o_orderkey, e, c, ({_DAY_DATE})::TIMESTAMP AS resolved FROM ({_O}) o JOIN (VALUES {_V(_DAYS)}) v(j, e, kind, i, c) ON o.o_orderkey % {len(_DAYS)} = v.j)""",
-    "ground_personal": f"SELECT o_orderkey, who || y || ' [yesterday]. The shop opens ' || w || ' [' || e || ']!' AS grounded, [len(who), len(who) + 26] AS starts FROM ({_TWO})",
+    "ground_personal": f"SELECT o_orderkey, who || y || ' [yesterday]. The shop opens ' || w || ' [' || e || ']!' AS grounded, len(who) || ',' || len(who) + 26 AS starts FROM ({_TWO})",
     "ground_auto": f"""SELECT o_orderkey, who || CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN y || ' [yesterday]' ELSE 'yesterday' END || '. The shop opens ' || e || '!' AS grounded,
  CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence FROM ({_TWO})""",
     "iso_event_at": "SELECT o_orderkey, o_orderdate::DATE AS event_day FROM orders",
