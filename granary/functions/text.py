@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x with x worked out once: what stands in a lambda is otherwise worked out for every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)([^\s\x1c-\x1f]+)"), F.lit(1))
 

@@ -23,11 +23,15 @@ def window_chunks(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVE
     only the overlap. Without overlap the rest may be empty and is then left out. No words: no chunks."""
     if not 0 <= overlap < max_tokens:
         raise ValueError("the overlap must be less than a chunk")
-    w, step = tx.words(F.coalesce(text, F.lit(""))), max_tokens - overlap
-    n = F.size(w)
-    last = F.when(n < max_tokens, 0).otherwise(F.floor((n - max_tokens) / step).cast("int") + 1)
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, max_tokens), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(cut, lambda x: x != ""))
+    step = max_tokens - overlap
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        last = F.when(n < max_tokens, 0).otherwise(F.floor((n - max_tokens) / step).cast("int") + 1)
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, max_tokens), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.filter(parts, lambda x: x != ""))
+
+    return tx.bind(tx.words(F.coalesce(text, F.lit(""))), cut)
 
 
 def blocks(text: Column) -> Column:
@@ -75,11 +79,14 @@ def structured_chunks(text: Column, max_tokens: int = MAX_TOKENS, overlap: int =
 
 def prose_chunks(text: Column, headings: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
     """Structured chunks (the text itself if there are none) behind their breadcrumb, unless a chunk is a heading."""
-    base = structured_chunks(text, max_tokens, overlap)
-    base = F.when(F.size(base) == 0, F.array(F.coalesce(text, F.lit("")))).otherwise(base)
     crumb = F.array_join(headings, " > ")
     known = F.transform(headings, tx.strip)
-    return F.when(F.coalesce(F.size(headings), F.lit(0)) < 1, base).otherwise(F.transform(base, lambda c: F.when(F.array_contains(known, tx.strip(c)), c).otherwise(F.concat(F.lit("["), crumb, F.lit("] "), c))))
+
+    def placed(base: Column) -> Column:
+        base = F.when(F.size(base) == 0, F.array(F.coalesce(text, F.lit("")))).otherwise(base)
+        return F.when(F.coalesce(F.size(headings), F.lit(0)) < 1, base).otherwise(F.transform(base, lambda c: F.when(F.array_contains(known, tx.strip(c)), c).otherwise(F.concat(F.lit("["), crumb, F.lit("] "), c))))
+
+    return tx.bind(structured_chunks(text, max_tokens, overlap), placed)
 
 
 def table_chunks(columns: Column, rows: Column, headings: Column, label: Column) -> Column:

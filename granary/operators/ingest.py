@@ -15,9 +15,8 @@ from . import chunking, grounding, jobs, store
 def hashed_vector(text: Column, size: int = 16) -> Column:
     """A stand-in for a model: counts of words by hash, as a unit vector; nulls for a text without words."""
     w = F.transform(tx.words(F.lower(text)), lambda x: F.pmod(F.xxhash64(x), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(w, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(store.dot(counts, counts))
-    return F.transform(counts, lambda x: (x / F.nullif(norm, F.lit(0.0))).cast("float"))
+    counts = tx.bind(w, lambda b: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
+    return tx.bind(counts, lambda c: tx.bind(F.sqrt(store.dot(c, c)), lambda norm: F.transform(c, lambda x: (x / F.nullif(norm, F.lit(0.0))).cast("float"))))
 
 
 @dataclass
