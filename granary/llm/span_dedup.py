@@ -5,6 +5,11 @@ over the least number of consecutive units that is at least MIN_UNITS and has at
 hashed with letter case and white space evened out. All spans of all documents meet (through exchange.py); the first
 place of a repeated span, by document key and position, stays, and the units that any other place covers are removed.
 
+Where units are long or a repeat begins and ends inside them, it may hold no such span. So runs of GRAM words meet as
+well, whatever their units: of every WINDOW consecutive ones that with the least hash, unless a span lies inside it.
+Any repeat of GRAM + WINDOW - 1 = 50 words thus holds a run or a span that all its copies choose; of a longer one fewer
+than 50 consecutive words stay. Of a unit that a run covers in part the other words stay; n_removed counts it.
+
 Cases: null or empty texts, and texts with fewer words than a span, keep their text (null becomes empty) and remove
 nothing. A document that only repeats others ends up empty, and stays as a row. A null key comes after all others.
 Repeated rows with one key are taken in the order of their texts; of equal rows the first keeps its text. Long texts
@@ -26,14 +31,17 @@ from .common import U64, Scratch, blocks_for, mix, pack, release, text_column, t
 from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
 
 MIN_UNITS, MIN_WORDS = 3, 20
+GRAM, WINDOW = 26, 25
 UNIT = re.compile(r"[^.!?;:,\n]*(?:[.!?;:,\n]+\s*|\Z)")
+WORD, SPACE = re.compile(r"\S+"), re.compile(r"\s*")
 BASE = 0x9E3779B97F4A7C15
 LAST = np.iinfo(np.int64).max
 OUT = "doc_id long, text string, n_units long, n_removed long, removed_words long"
 
 
-def units(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Where units end, their hashes and their words; units without words join the one before."""
+def units(text: str, words: list[str] | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Where units end, their hashes and their words; units without words join the one before. The words are appended
+    to a list that is given."""
     ends, hashes, sizes = [], [], []
     h = xxhash.xxh3_64_intdigest
     for m in UNIT.finditer(text):
@@ -42,11 +50,23 @@ def units(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
             ends.append(m.end())
             hashes.append(h(" ".join(w)))
             sizes.append(len(w))
+            if words is not None:
+                words += w
         elif ends:
             ends[-1] = m.end()
     return ends, np.array(hashes, U64), np.array(sizes, np.int64)
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where the words of units() begin and end."""
+    out = []
+    for m in UNIT.finditer(text):
+        w = [x.span() for x in WORD.finditer(text, m.start(), m.end())]
+        if w and (len(w) > 1 or any(c.isalnum() for c in text[slice(*w[0])].lower())):
+            out += w
+    return out
+
+
 def spans(hashes: np.ndarray, sizes: np.ndarray, powers: np.ndarray, min_units: int = MIN_UNITS, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(keys, ends): for each unit that a span starts at, the span's hash and the unit after its last."""
     n = len(hashes)
@@ -60,6 +80,38 @@ def spans(hashes: np.ndarray, sizes: np.ndarray, powers: np.ndarray, min_units:
     return mix(body + (ends - starts).astype(U64) * U64(0xC2B2AE3D27D4EB4F)), ends
 
 
+def sliding(f, x: np.ndarray, n: int) -> np.ndarray:
+    """f (minimum or maximum) of every n consecutive elements."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = f(x[:-step], x[step:])
+        size += step
+    return x
+
+
+def grams(words: list[str], sizes: np.ndarray, stops: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, starts): the chosen runs of GRAM words in which no span lies. stops: spans()' ends. Only unit ends between
+    two words of a run are looked at, so that copies choose alike whatever stands around them."""
+    n = len(words)
+    m = n - GRAM + 1
+    none = np.zeros(0, U64), np.zeros(0, np.int64)
+    if m < WINDOW:
+        return none
+    run = np.concatenate(([0], np.cumsum(sizes)))
+    stop = np.concatenate((run[stops], np.full(len(run) - len(stops), n + GRAM)))
+    at = np.arange(m)
+    free = stop[np.searchsorted(run, at, "right")] >= at + GRAM
+    if not free.any():
+        return none
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, n)
+    prefix = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * powers[0, :n], dtype=U64)))
+    keys = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers[1, :m] + U64(0xD6E8FEB86659FD93))
+    least = np.pad(sliding(np.minimum, keys, WINDOW), WINDOW - 1)
+    starts = np.flatnonzero((sliding(np.maximum, least, WINDOW) == keys) & free)
+    return keys[starts], starts
+
+
 def power_table(n: int) -> np.ndarray:
     """Powers of BASE and of its inverse modulo 2 ** 64."""
     out = np.ones((2, n + 1), U64)
@@ -68,6 +120,28 @@ def power_table(n: int) -> np.ndarray:
     return out
 
 
+def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which of n places the ranges cover."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, stops, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def without(text: str, ends: list[int], sizes: np.ndarray, gone: np.ndarray, runs: np.ndarray) -> tuple[str, np.ndarray, int]:
+    """The text without the units that are gone and the runs of words, the units that lost any, and how many words."""
+    at, places = np.array([0, *ends]), word_places(text)
+    run = np.concatenate(([0], np.cumsum(sizes)))
+    first = [places[r][0] for r in runs.tolist()]
+    stop = [SPACE.match(text, places[r + GRAM - 1][1]).end() for r in runs.tolist()]
+    units_gone = np.flatnonzero(gone)
+    chars = covered(len(text), np.concatenate((at[units_gone], first)).astype(np.int64), np.concatenate((at[units_gone + 1], stop)).astype(np.int64))
+    words = covered(len(places), np.concatenate((run[units_gone], runs)), np.concatenate((run[units_gone + 1], runs + GRAM)))
+    edges = np.flatnonzero(np.diff(chars, prepend=True, append=True)).tolist()
+    kept = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return kept, np.add.reduceat(words, run[:-1], dtype=np.int64) > 0, words.sum()
+
+
 class Block:
     """The spans of a block's documents, documents in order of key and text."""
 
@@ -76,13 +150,22 @@ class Block:
         self.order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0, texts[i]))
         self.docs = [keys[i] for i in self.order]
         self.texts = [texts[i] for i in self.order]
-        self.units = [units(x) for x in self.texts]
-        powers = power_table(max((len(u[1]) for u in self.units), default=0))
-        each = [spans(u[1], u[2], powers, min_units, min_words) for u in self.units]
-        self.span_ends = [e for _, e in each]
-        # spans start at units 0, 1, 2, ... of each document
-        self.first = np.concatenate(([0], np.cumsum([len(k) for k, _ in each]))).astype(np.int64)
-        flat = np.concatenate([k for k, _ in each]) if each else np.zeros(0, U64)
+        self.units, self.span_ends, self.gram_starts, each = [], [], [], []
+        powers = power_table(1024)
+        for x in self.texts:
+            words: list[str] = []
+            u = units(x, words)
+            if len(words) >= powers.shape[1]:
+                powers = power_table(2 * len(words))
+            k, ends = spans(u[1], u[2], powers, min_units, min_words)
+            g, starts = grams(words, u[2], ends, powers)
+            self.units.append(u)
+            self.span_ends.append(ends)
+            self.gram_starts.append(starts)
+            each.append((k, g))
+        # spans start at units 0, 1, 2, ... of each document; runs of words come after them
+        self.first = np.concatenate(([0], np.cumsum([len(k) + len(g) for k, g in each]))).astype(np.int64)
+        flat = np.concatenate([k for both in each for k in both]) if each else np.zeros(0, U64)
         self.keys, self.at, self.inverse = np.unique(flat, return_index=True, return_inverse=True)
         owner = np.searchsorted(self.first, self.at, "right") - 1
         self.owner_key = np.array([LAST if d is None else d for d in self.docs], np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
@@ -127,16 +210,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_units: i
             mine = np.concatenate([np.zeros(0, np.uint8), *(unpack(packed[i], np.uint8) for i in order)]).astype(bool)
             kept = np.zeros(len(b.inverse), bool)  # the places that stay
             kept[b.at[mine]] = True
-            for i, (doc, x, (ends, _, sizes), stops) in enumerate(zip(b.docs, b.texts, b.units, b.span_ends)):
+            for i, (doc, x, (ends, _, sizes), stops, starts) in enumerate(zip(b.docs, b.texts, b.units, b.span_ends, b.gram_starts)):
                 again = np.flatnonzero(~kept[b.first[i] : b.first[i + 1]])
-                change = np.zeros(len(ends) + 1, np.int64)
-                np.add.at(change, again, 1)
-                np.add.at(change, stops[again], -1)
-                gone = np.cumsum(change[:-1]) > 0
-                if gone.any():
+                again, runs = again[again < len(stops)], starts[again[again >= len(stops)] - len(stops)]
+                gone = covered(len(ends), again, stops[again])
+                n_words = sizes[gone].sum()
+                if len(runs):
+                    x, gone, n_words = without(x, ends, sizes, gone, runs)
+                elif gone.any():
                     at = [0, *ends]
                     x = "".join(x[at[j] : at[j + 1]] for j in np.flatnonzero(~gone).tolist())
-                for c, v in zip(out, (doc, x, len(ends), int(gone.sum()), int(sizes[gone].sum()))):
+                for c, v in zip(out, (doc, x, len(ends), int(gone.sum()), int(n_words))):
                     out[c].append(v)
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), types)})

@@ -182,6 +182,28 @@ def test_spans_like_brute_force(spark):
     assert any(r.n_removed for r in got)
 
 
+def test_repeats_of_fifty_words_in_long_units(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    plain = lambda n: " ".join(fresh(n))
+    bare, long_ = plain(50), plain(30) + ". " + plain(40)
+    rows = [(1, f"{plain(40)} {bare} {plain(33)}"), (2, f"{plain(7)}, {plain(3)} {bare.upper()} {plain(60)}"), (3, f"{plain(9)} {long_} {plain(9)}"), (4, long_), (5, f"{long_} {plain(5)}")]
+    rows += [(6, plain(400)), (7, "again " * 200), (8, "again " * 49)]
+    got = {r.doc_id: r for r in span_dedup.dedup(frame(spark, rows), block_chars=900).collect()}
+    seen = set()
+    for i, text in rows[:7]:
+        left, words = got[i].text.lower().split(), text.lower().split()
+        assert got[i].removed_words == len(words) - len(left)
+        runs = [tuple(left[j : j + 50]) for j in range(len(left) - 49)]
+        assert not seen.intersection(runs) and len(runs) == len(set(runs))
+        seen.update(runs)
+    assert [got[i].text == t for i, t in rows] == [True, False, True, False, False, True, False, True]
+    kept = got[2].text.split()
+    assert kept[:10] == rows[1][1].split()[:10] and kept[-60:] == rows[1][1].split()[-60:]
+    assert got[2].n_units == 2 and got[2].n_removed == 1
+    assert len(got[5].text.split()) >= 5 and got[5].text.endswith(rows[4][1][-20:])
+
+
 def test_spans_without_words(spark):
     assert span_dedup.dedup(frame(spark, [])).count() == 0
     got = span_dedup.dedup(frame(spark, [(1, None), (2, ""), (None, "a. b."), (3, "!!! ...")])).collect()
