@@ -44,7 +44,7 @@ def keyword_search(spark, d):
 
 
 def dedupe_hash(spark, d):
-    docs = table(spark, d, "documents").select(F.lit("u").alias("user_id"), F.col("lang").alias("domain_id"), F.substring("text", 1, 40).alias("content"), "doc_id")
+    docs = table(spark, d, "documents").select(F.lit("u").alias("user_id"), F.col("lang").alias("domain_id"), F.col("text").alias("content"), "doc_id")
     once = store.dedupe(docs.withColumn("content_hash", store.content_hash(F.col("domain_id"), F.col("content"))), F.col("doc_id"))
     return once.select("domain_id", "content_hash", "doc_id")
 
