@@ -1,4 +1,5 @@
-"""Queries on page layout: events as words on 50 pages, placed by arithmetic; headings made of orders."""
+"""Queries on page layout: events as words on pages, placed by arithmetic; headings made of orders. Where the SQL has
+50 pages, so has the query; elsewhere a page holds so many events and the number of pages grows."""
 
 from __future__ import annotations
 
@@ -27,23 +28,25 @@ def row_group(spark, d):
 
 
 def center_cluster(spark, d):
-    w = words(spark, d).where("event_id % 11 = 0").select("page", F.col("x0").alias("center"))
+    w = words(spark, d).select("page", F.col("x0").alias("center"))
     return pg.cluster_centers(w, ["page"]).select("page", "column", F.round("at", 6).alias("at"))
 
 
 def nearest_column(spark, d):
     w = words(spark, d)
-    columns = pg.cluster_centers(w.where("event_id % 11 = 0").select("page", F.col("x0").alias("center")), ["page"])
+    columns = pg.cluster_centers(w.select("page", F.col("x0").alias("center")), ["page"])
     return pg.nearest_column(w.select("page", "event_id", F.col("x0").alias("center")), columns, ["page"]).select("event_id", "column")
 
 
 def band_words(spark, d):
-    w = words(spark, d).withColumn("top", (F.col("event_id") * 7 % 97).cast("double")).where("page < 10").drop("band")
+    w = words(spark, d).withColumns({"page": F.expr("event_id div 400"), "top": (F.col("event_id") * 7 % 97).cast("double")}).drop("band")
     return pg.bands(w, ["page"]).select("event_id", "band")
 
 
 def stream_tables(spark, d):
-    w = words(spark, d).where("page < 20").drop("band").withColumn("x0", F.expr("cast(event_id div 50 div 40 % 3 * 100 as double)")).withColumn("x1", F.col("x0") + 30).dropDuplicates(["page", "top", "x0"])
+    # a page is 40 rows of three words
+    x0, top = F.expr("cast(event_id % 3 * 100 as double)"), F.expr("cast(event_id div 3 % 40 * 20 as double)")
+    w = words(spark, d).drop("band").withColumns({"page": F.expr("event_id div 120"), "x0": x0, "x1": x0 + 30, "top": top, "bottom": top + 10})
     return pg.stream_tables(w, ["page"]).select("page", "table", F.size("cells").alias("n_rows"), F.size(F.get("cells", F.lit(0))).alias("n_columns"))
 
 

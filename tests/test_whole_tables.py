@@ -2,7 +2,7 @@
 
 import hashlib
 
-from granary.plans import search
+from granary.plans import pages, search
 
 
 def folder(path, **tables):
@@ -19,3 +19,22 @@ def test_whole_texts_are_hashed(spark, tmp_path):
     for i, text, lang in rows:
         want[lang, hashlib.md5(f"{lang}:{text}".encode()).hexdigest()] = i
     assert {(r.domain_id, r.content_hash): r.doc_id for r in search.dedupe_hash(spark, d).collect()} == want
+
+
+def events(spark, n):
+    return spark.range(n).selectExpr("id as event_id", "cast(id % 7 as bigint) as user_id", "timestamp_ntz'2026-01-01' as ts", "'click' as event_type", "1.0D as value", "'{}' as props")
+
+
+def test_all_events_are_on_pages(spark, tmp_path):
+    n = 1200
+    d = folder(tmp_path, events=events(spark, n))
+    centers = {}
+    for i in range(n):
+        centers.setdefault(i % 50, set()).add(i * 37 % 500)
+    want = {(p, c, float(x)) for p, xs in centers.items() for c, x in enumerate(sorted(xs))}  # 50 points apart
+    assert {tuple(r) for r in pages.center_cluster(spark, d).collect()} == want
+    column = {(p, x): c for p, c, x in want}
+    assert {tuple(r) for r in pages.nearest_column(spark, d).collect()} == {(i, column[i % 50, float(i * 37 % 500)]) for i in range(n)}
+    assert {r.event_id for r in pages.band_words(spark, d).collect()} == set(range(n))
+    got = pages.stream_tables(spark, d).collect()
+    assert sum(r.n_rows * r.n_columns for r in got) == n and {r.page for r in got} == set(range(n // 120))
