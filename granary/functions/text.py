@@ -65,14 +65,16 @@ def safe_name(c: Column) -> Column:
 
 
 def column_letter(i: Column) -> Column:
-    """0: A, 25: Z, 26: AA, up to three letters (18,277)."""
+    """0: A, 25: Z, 26: AA, and so on; a long takes up to 14 letters. Null for null and negative numbers."""
+    firsts = [sum(26**j for j in range(1, n)) for n in range(1, 15)]  # the first number of n letters
+    i = i.cast("long")
     letter = lambda x: F.char(F.lit(65) + x)
-    one = letter(i)
-    j = i - 26
-    two = F.concat(letter(F.floor(j / 26)), letter(j % 26))
-    k = i - 702
-    three = F.concat(letter(F.floor(k / 676)), letter(F.floor(k / 26) % 26), letter(k % 26))
-    return F.when(i < 26, one).when(i < 702, two).otherwise(three)
+    digit = lambda k, p: F.call_function("div", k, F.lit(26**p)) % 26
+    each = [F.concat(*[letter(digit(i - first, p)) for p in range(n, -1, -1)]) for n, first in enumerate(firsts)]
+    out = each[-1]
+    for first, one in zip(firsts[:0:-1], each[-2::-1]):
+        out = F.when(i < first, one).otherwise(out)
+    return F.when(i >= 0, out)
 
 
 def ellipsis(c: Column, most: int) -> Column:

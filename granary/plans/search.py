@@ -29,7 +29,7 @@ def scoped_search(spark, d):
 
 def vector_topk_batch(spark, d):
     k = knowledge(spark, d)
-    q = k.where("cast(id as int) < 10").select(F.col("id").alias("query_id"), "user_id", "domain_id", F.col("embedding").alias("vector"))
+    q = k.where("cast(id as bigint) % 50 = 0").select(F.col("id").alias("query_id"), "user_id", "domain_id", F.col("embedding").alias("vector"))
     return store.search_batch(k, q, 5, "inner").select("query_id", "rank", "id", F.round("score", 5).alias("score"))
 
 

@@ -2,7 +2,10 @@
 
 import hashlib
 
-from granary.plans import pages, search
+from pyspark.sql import functions as F
+
+from granary.functions import text as tx
+from granary.plans import grids, pages, search
 
 
 def folder(path, **tables):
@@ -38,3 +41,29 @@ def test_all_events_are_on_pages(spark, tmp_path):
     assert {r.event_id for r in pages.band_words(spark, d).collect()} == set(range(n))
     got = pages.stream_tables(spark, d).collect()
     assert sum(r.n_rows * r.n_columns for r in got) == n and {r.page for r in got} == set(range(n // 120))
+
+
+def letters(i):
+    out, i = "", i + 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def test_letters_of_all_orders(spark, tmp_path):
+    keys = [0, 25, 26, 701, 702, 16_000, 16_001, 18_277, 18_278, 475_253, 475_254, 10**12, 2**63 - 1]
+    d = folder(tmp_path, orders=spark.createDataFrame([(k,) for k in keys], "o_orderkey long"))
+    assert {r.i: r.letter for r in grids.col_letters(spark, d).collect()} == {k: letters(k) for k in keys}
+    odd = spark.createDataFrame([(-1,), (None,)], "i int")
+    assert [r[0] for r in odd.select(tx.column_letter(F.col("i"))).collect()] == [None, None]
+
+
+def test_queries_grow_with_the_table(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0], i % 2) for i in range(260)]
+    d = folder(tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    got = search.vector_topk_batch(spark, d).collect()
+    assert {int(r.query_id) for r in got} == {0, 50, 100, 150, 200, 250}
+    for q in (0, 50, 250):
+        scope = [(-(x[0] * rows[q][1][0] + 1), i) for i, x, label in rows if (i % 3, label) == (q % 3, q % 2)]
+        assert [(int(r.id), r.score) for r in sorted((r for r in got if int(r.query_id) == q), key=lambda r: r.rank)] == [(i, -s) for s, i in sorted(scope)[:5]]
