@@ -60,11 +60,17 @@ def latest(log: DataFrame, key: str, order: str) -> DataFrame:
 
 def fold_jobs(events: DataFrame, order: str = "seq") -> DataFrame:
     """Events (job_id, step, state, error, seq) folded into jobs: state, current_step (none once it ended), the
-    completed steps in order, error. A failed job keeps what it had completed."""
-    e = F.array_sort(F.collect_list(F.struct(order, "step", "state", "error")))
-    j = events.groupBy("job_id").agg(e.alias("e"))
-    last = F.element_at("e", -1)
-    began = F.transform(F.filter("e", lambda x: x["step"].isNotNull() & (x["state"] == "processing")), lambda x: x["step"])
+    completed steps in order, error. A failed job keeps what it had completed. The first step begins a new attempt, of
+    which the last counts; a step that begins again counts once. A job's log is never in one place: its newest rows
+    are, one for each step."""
+    row = F.struct(order, "step", "state", "error")
+    began = F.col("step").isNotNull() & (F.col("state") == "processing")
+    each = events.groupBy("job_id", "step").agg(F.max_by(row, order).alias("last"), F.max(F.when(began, F.col(order))).alias("began"))
+    first = F.max(F.when(F.col("step") == STEPS[0], F.col("began")))
+    steps = F.array_sort(F.collect_list(F.when(F.col("began").isNotNull(), F.struct("began", "step"))))
+    j = each.groupBy("job_id").agg(F.max_by("last", F.col("last")[order]).alias("last"), first.alias("first"), steps.alias("steps"))
+    last = F.col("last")
+    began = F.transform(F.filter("steps", lambda x: F.col("first").isNull() | (x["began"] >= F.col("first"))), lambda x: x["step"])
     done = F.when(last["state"] == "completed", began).otherwise(F.slice(began, 1, F.greatest(F.size(began) - 1, F.lit(0))))
     current = F.when(last["state"] == "processing", F.element_at(began, -1))
     return j.select("job_id", last["state"].alias("state"), current.alias("current_step"), done.alias("completed_steps"), last["error"].alias("error"))

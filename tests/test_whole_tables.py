@@ -5,7 +5,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
-from granary.plans import grids, pages, search
+from granary.operators import jobs as jb
+from granary.plans import grids, jobs, pages, search
 
 
 def folder(path, **tables):
@@ -67,3 +68,23 @@ def test_queries_grow_with_the_table(spark, tmp_path):
     for q in (0, 50, 250):
         scope = [(-(x[0] * rows[q][1][0] + 1), i) for i, x, label in rows if (i % 3, label) == (q % 3, q % 2)]
         assert [(int(r.id), r.score) for r in sorted((r for r in got if int(r.query_id) == q), key=lambda r: r.rank)] == [(i, -s) for s, i in sorted(scope)[:5]]
+
+
+def test_whole_job_logs_are_folded(spark, tmp_path):
+    d = folder(tmp_path, events=events(spark, 100))
+    assert jobs._events(spark, d).count() == 100
+    got = {r.job_id: r for r in jobs.job_latest(spark, d).collect()}
+    for j in range(7):
+        state = ("failed", "completed", "processing")[j % 3]
+        want = (state, "chunk" if state == "processing" else None, "read,ground,chunk" if state == "completed" else "read,ground", "boom" if state == "failed" else None)
+        assert tuple(got[j])[1:] == want
+
+
+def test_last_attempt_of_a_job_counts(spark):
+    go = lambda job, seq, step: (job, step, "processing", None, seq)
+    log = [go(1, 1, "read"), go(1, 2, "ground"), go(1, 3, "chunk"), (1, None, "failed", "boom", 4), go(1, 5, "read"), go(1, 6, "ground")]
+    log += [go(2, 1, "read"), go(2, 2, "ground"), (2, None, "failed", "boom", 3), go(2, 4, "ground"), (2, None, "completed", None, 5)]
+    log += [go(3, 2, "own step"), go(3, 1, "other step"), (4, None, "pending", None, 1)]
+    df = spark.createDataFrame(log, "job_id long, step string, state string, error string, seq long")
+    got = {r.job_id: tuple(r)[1:] for r in jb.fold_jobs(df).collect()}
+    assert got == {1: ("processing", "ground", ["read"], None), 2: ("completed", None, ["read", "ground"], None), 3: ("processing", "own step", ["other step"], None), 4: ("pending", None, [], None)}
