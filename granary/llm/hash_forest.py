@@ -134,11 +134,18 @@ def search(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
         if left.num_rows and right.num_rows:
             (ids, x), (qids, q) = arrays(left), arrays(right)
             forest = Forest(np.hstack((x, pad(x))), w)
-            # all trees hold the same rows: so many places have k rows at least besides those of the query's id
-            least = max(int(share * len(x)), (k + int(np.unique(ids, return_counts=True)[1].max())) * trees)
+            # all trees hold the same rows: so many places have k ids at least besides the query's
+            copies = np.unique(ids, return_counts=True)[1]
+            repeated = copies.max() > 1
+            least = max(int(share * len(x)), int(np.sort(copies)[-k - 1 :].sum()) * trees if repeated else (k + 1) * trees)
             for qid, v, at in zip(qids.tolist(), q, forest.candidates(np.hstack((q, np.zeros((len(q), 1)))), least)):
                 at = at[ids[at] != qid]
                 s = (x[at] * v).sum(1)  # row by row the same sum, whatever the shard
+                if repeated:  # each id's best row
+                    order = np.lexsort((-s, ids[at]))
+                    sorted_ids = ids[at][order]
+                    order = order[np.append(True, sorted_ids[1:] != sorted_ids[:-1])[: len(order)]]
+                    at, s = at[order], s[order]
                 if len(at) > k:
                     cut = np.partition(s, len(s) - k)[len(s) - k]
                     at, s = at[s >= cut], s[s >= cut]

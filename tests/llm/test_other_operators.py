@@ -121,6 +121,28 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 10 * len(by)
 
 
+def test_neighbours_with_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    ids = np.concatenate((np.repeat(np.arange(100), 3), np.full(60, 7), 40 + np.arange(40) % 4))  # 7 and 40 to 43 often
+    x[300:360] = x[0] * 3 + 0.01 * x[300:360]  # near a query
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (8192, 150):
+        by = {}
+        for r in hash_forest.search(df, lambda k: k % 20 == 0, 20, share=1e9, shard=shard).collect():
+            by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        for q in range(0, 100, 20):
+            s = np.full(100, -np.inf)
+            for v in x[ids == q]:
+                np.maximum.at(s, ids, (x * v).sum(1))
+            s[q] = -np.inf
+            want = np.lexsort((np.arange(100), -s))[:20].tolist()
+            assert [(n, v) for n, v, _ in sorted(by[q])] == list(enumerate(want, 1))
+    few = hash_forest.search(df, lambda k: k % 20 == 0, 20, share=0.0).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in few} == dict.fromkeys(range(0, 100, 20), 20)
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, hash_forest.search(df, lambda k: k % 20 == 0).collect()))
