@@ -147,11 +147,12 @@ def factor(w: np.ndarray, tokens: np.ndarray, budget: float) -> float:
     return float("inf")
 
 
-def rake_frame(cells: DataFrame, margins: list[str], targets: list[dict | None], power: float, budget: float, scratch: Scratch, rounds: int = 20) -> DataFrame:
-    """The same for more cells than the driver should hold: one aggregation and join for each margin and round."""
+def rake_frame(cells: DataFrame, margins: list[str], targets: list[dict | None], power: float, budget: float, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """The same for more cells than the driver should hold, by the same rule for stopping: one aggregation and join for
+    each margin and round."""
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0) or 1.0
-    state, shares = cells.withColumn("w", F.lit(1.0)), []
+    state, shares, saved = cells.withColumn("w", F.lit(1.0)), [], []
     for c, target in zip(margins, targets):
         s = cells.groupBy(c).agg((F.sum("tokens") / total).alias("share"))
         if target is None:
@@ -162,11 +163,19 @@ def rake_frame(cells: DataFrame, margins: list[str], targets: list[dict | None],
         s = scratch.save(s)
         shares.append(s.withColumn("share", F.col("share") / F.lit(float(s.agg(F.sum("share")).first()[0] or 1.0))))
     for _ in range(rounds):
+        off, old = 0.0, []
         for c, s in zip(margins, shares):
             now = state.groupBy(c).agg((F.sum(F.col("w") * F.col("tokens")) / total).alias("now")).join(s, c)
+            now = scratch.save(now)
+            old.append(now)
+            off = max(off, now.agg(F.max(F.abs(F.col("now") - F.col("share")))).first()[0] or 0.0)
             by = now.select(c, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(1.0).alias("by"))
             state = state.join(by, c).withColumn("w", F.col("w") * F.col("by")).drop("by")
         state = scratch.save(state)
+        scratch.drop(*old, *saved)
+        saved = [state]
+        if off < TOLERANCE:
+            break
     state = state.withColumn("w", F.when(F.col("tokens") > 0, F.col("w")).otherwise(1.0))
     lo, hi = 0.0, 1.0
     taken = lambda c: float(state.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("w")))).first()[0] or 0.0)

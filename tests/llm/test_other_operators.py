@@ -206,3 +206,14 @@ def test_components(spark):
     got = {r.id: r.label for r in cc.connected_components(spark.createDataFrame(links, "a long, b long"), cm.Scratch(spark)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10} | {100 + i: 100 for i in range(61)}
     assert cc.connected_components(spark.createDataFrame([], "a long, b long"), cm.Scratch(spark)).count() == 0
+
+
+def test_many_cells_are_raked_until_margins_are_met(spark):
+    rows = [("a", "x", "t", 1e6), ("a", "y", "t", 1.0), ("b", "x", "t", 1.0), ("b", "y", "t", 1e6)]
+    targets = [{"a": 0.5, "b": 0.5}, {"x": 0.35, "y": 0.65}, None]
+    cells = spark.createDataFrame(rows, "s string, l string, t string, tokens double")
+    got = {r[:2]: r.weight for r in mixing.rake_frame(cells, ["s", "l", "t"], targets, 0.5, 0.5, mixing.Scratch(spark)).collect()}
+    total = sum(r[3] for r in rows)
+    for j, target in enumerate(targets[:2]):
+        for value, share in target.items():
+            assert abs(sum(got[r[:2]] * r[3] for r in rows if r[j] == value) / total - share) < 1e-8
