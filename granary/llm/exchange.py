@@ -1,6 +1,6 @@
 """Global statistics of hashed keys without a row for each occurrence.
 
-Documents are dealt to blocks of bounded size by a hash of their key. A block sends its distinct 64-bit keys, sorted,
+Documents are dealt to blocks of bounded size by a hash of their key and text. A block sends its distinct 64-bit keys, sorted,
 with a value or two each, as packed arrays: one row for each of the equal ranges of the key space ("buckets"). A
 bucket's task joins the arrays of all blocks, works out what belongs to each key, and answers each block in the
 block's own key order, so that an answer needs no keys. However often a key occurs, a bucket gets it once from each
@@ -20,8 +20,10 @@ from .common import U64, bucket_edges, pack, pack_sorted, unpack_sorted
 BLOCK_CHARS = 8_000_000
 
 
-def with_block(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(n)).cast("int"))
+def with_block(df: DataFrame, n: int, *of: str) -> DataFrame:
+    """df with the block that a hash of columns gives: the key and a hash of the text, so that neither null keys nor a
+    key that many texts have make a block large."""
+    return df.withColumn("block", F.pmod(F.xxhash64(*of), F.lit(n)).cast("int"))
 
 
 def send(rows: dict, kind: int, block: int, keys: np.ndarray, values: list[np.ndarray], buckets: int, extra: int = 0) -> None:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks_for, mix, pack, release, remainder, text_column, trimmed, unpack, word_hashes, words
+from .common import U64, Scratch, blocks_for, keyed, mix, pack, remainder, trimmed, unpack, used_once, word_hashes, words
 from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
 
 #: The end token's place among the word hashes; no word gives it but with the odds of a hash collision.
@@ -107,10 +107,10 @@ def em(cells: np.ndarray, vocabulary: int) -> np.ndarray:
 def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Scores of all documents by the model of those whose checksum's remainder (modulo 7) is not `held`."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_column(text).alias("t"), remainder(key, PARTS).cast("int").alias("part"))
+    rows = keyed(docs, key, text).withColumn("part", remainder("doc_id", PARTS).cast("int"))
     blocks = blocks_for(rows, "t", block_chars)
     # a block's documents are all of one part, so that one part's counts answer for it
-    rows = with_block(rows, "doc_id", max(1, -(-blocks // PARTS))).withColumn("block", F.col("block") * PARTS + F.col("part"))
+    rows = with_block(rows, max(1, -(-blocks // PARTS)), "doc_id", "th").withColumn("block", F.col("block") * PARTS + F.col("part")).drop("th")
     blocked = rows.groupBy("block")
 
     def count(t: pa.Table) -> pa.Table:
@@ -148,8 +148,6 @@ def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text
 
     sent = blocked.applyInArrow(trimmed(count), SENT)
     answers = scratch.save(sent.groupBy("kind", "bucket").applyInArrow(trimmed(total), "block int, kind int, bucket int, total binary, own binary, n_distinct long, by_part array<long>"))
-    del sent
-    release(spark)
     sums = answers.where("block = -1 and kind = 0").agg(F.sum("n_distinct").alias("v"), *[F.sum(F.col("by_part")[i]).alias(f"p{i}") for i in range(PARTS)]).first()
     vocabulary, by_part = int(sums["v"] or 0), [int(sums[f"p{i}"] or 0) for i in range(PARTS)]
     n_train = sum(by_part)
@@ -176,10 +174,9 @@ def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text
         return pa.table({**{k: pa.array(cells[:, i], pa.int32()) for i, k in enumerate(names[0])}, **{k: pa.array(sums_[:, i], pa.float64()) for i, k in enumerate(names[1])}})
 
     grid = blocked.cogroup(replies).applyInArrow(trimmed(held_out), "b int, i2 int, i1 int, n double, s2 double, s1 double").groupBy("b", "i2", "i1").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")])
-    cells = np.array([(r.b, r.n, r.s2 / r.n, r.s1 / r.n) for r in grid.collect()]).reshape(-1, 4)
+    with used_once(spark):
+        cells = np.array([(r.b, r.n, r.s2 / r.n, r.s1 / r.n) for r in sorted(grid.collect())]).reshape(-1, 4)
     weights = em(cells, vocabulary)
-    del grid
-    release(spark)
 
     def final(docs_: pa.Table, got: pa.Table) -> pa.Table:
         b = Block(docs_.column("t"))

@@ -3,7 +3,7 @@
 Two documents link when the Jaccard similarity of their sets of distinct 5-word shingles is at least 0.8. The join is
 exact: every pair of different sets that links ends up in one component, and no pair is taken for a link untested.
 
-1. Documents with equal sets are one class; its smallest key stands for it.
+1. Documents with equal sets are one class, numbered on writing; of its rows that with the smallest key stands for it.
 2. Through exchange.py each class learns in how many classes each of its shingles is. Shingles of one class alone can't
    be shared, so a class with under 80 % of others has no link; the rest keep their rarest shingles (a prefix of
    n - ceil(0.8 n) + 1 in order of frequency), one of which any partner must share.
@@ -17,17 +17,22 @@ exact: every pair of different sets that links ends up in one component, and no
    on their whole sets.
 
 Trees are built for slices of the shingle space; a shingle with many entries is cut into chunks whose pairs are
-separate trees, so no task's size follows a hot shingle.
+separate trees, so no task's size follows a hot shingle. Joins on a class, a hub or a component deal the rows of one
+that has many over several tasks (common.lookups).
+
+components() needs one link for each pair of groups, so it leaves out pairs of one component; links() gives every pair
+of classes that link, and their number grows with the square of a group of near copies.
 
 Cases: null and empty texts, and texts of white space, have no shingles, link with nothing and are their own
 component. Under five words, the whole sequence is the one shingle. Repeated rows are of one class. A row with a null
-key takes part, but its key is not a component's smallest (a component of such rows alone has a null id). Keys must be
-below 2 ** 62. Texts are read whole. Other columns are not read.
+key takes part, but its key is not a component's smallest (a component of such rows alone has a null id). Rows that
+share a key but not a text are told apart. Texts are read whole. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks_for, by_chars, mix, pack, release, text_column, trimmed, unpack, word_hashes, words
+from .common import U64, Scratch, blocks_for, by_chars, keyed, lookup, lookups, mix, pack, trimmed, unpack, word_hashes, words
 from .components import connected_components
 from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
 
@@ -44,7 +49,6 @@ WORDS = 5
 NUM, DEN = 5, 4
 #: Entries of one shingle in a tree, a leaf's entries, a node's children, and the bitmaps' 64-bit words.
 CHUNK, LEAF, FAN, BITMAP, SKETCH = 2_000, 16, 8, 16, 16
-NULL_ID = 1 << 62
 
 
 def shingle_sets(texts, width: int = WORDS) -> list[np.ndarray]:
@@ -166,10 +170,10 @@ def candidate_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, m: np.nda
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their whole sets."""
+    """Those of the written pairs (a, b) that link, by their whole sets."""
     left = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    rows = pairs.join(left, "b").join(right, "a").select("a", "b", "na", "nb", "sa", "sb")
+    rows = lookups(pairs.select("a", "b"), [("b", left), ("a", right)], "inner").select("a", "b", "na", "nb", "sa", "sb")
 
     def test(batches):
         last: tuple = (None, None)
@@ -188,28 +192,43 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(test, "a long, b long")
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (the smallest key with an equal set) for each row."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_column(text).alias("t"))
+@dataclass
+class Prepared:
+    """every: doc_id, th, n, h of each row. classes: h, id, doc_id, th of the row that stands for a class. sets: id, n,
+    m (shingles that others have too), shingles (those), sketch, tokens (the prefix) of classes that may link."""
+
+    scratch: Scratch
+    blocks: int
+    every: DataFrame
+    classes: DataFrame
+    sets: DataFrame
+
+    def entries(self) -> DataFrame:
+        return self.sets.select("id", "n", "m", F.explode("tokens").alias("token"))
+
+
+def prepare(docs: DataFrame, key: str, text: str, width: int, block_chars: int) -> Prepared:
+    scratch = Scratch(docs.sparkSession)
+    rows = keyed(docs, key, text)
 
     def sizes(batches):
         for b in by_chars(batches, "t"):
             sets = shingle_sets(b.column("t"), width)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.binary())], names=["doc_id", "n", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.binary())], names=["doc_id", "th", "n", "h"])
 
-    every = scratch.save(rows.mapInArrow(sizes, "doc_id long, n long, h binary"))
-    nameless = F.lit(NULL_ID) + F.shiftrightunsigned(F.xxhash64("h"), 2)  # a stand-in where no row has a key
-    classes = every.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("key")).withColumn("id", F.coalesce("key", nameless))
+    every = scratch.save(rows.mapInArrow(sizes, "doc_id long, th long, n long, h binary"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r")
+    classes = every.where("n > 0").groupBy("h").agg(least).select("h", F.monotonically_increasing_id().alias("id"), "r.doc_id", "r.th")
+    classes = scratch.save(classes)  # from here on the numbers stand
     blocks = blocks_for(rows, "t", block_chars)
-    reps = with_block(classes.withColumn("doc_id", F.col("key")), "doc_id", blocks).select("block", "doc_id", "id", "h")
-    reps = scratch.save(reps)
-    blocked = with_block(rows, "doc_id", blocks).groupBy("block")
+    reps = with_block(classes, blocks, "doc_id", "th").select("block", "th", "id", "h")
+    blocked = with_block(rows, blocks, "doc_id", "th").groupBy("block")
 
     def chosen(t: pa.Table, r: pa.Table) -> tuple[list[int], list[np.ndarray]]:
         """A block's classes and their sets, in a fixed order."""
         ids = dict(zip(r.column("h").to_pylist(), r.column("id").to_pylist()))
-        t = t.filter(pc.is_in(t.column("doc_id"), value_set=pc.unique(r.column("doc_id"))))
+        hashes, at = np.unique(t.column("th").to_numpy(), return_index=True)  # copies of a text have one set
+        t = t.take(pa.array(np.sort(at[np.isin(hashes, r.column("th").to_numpy())])))
         sets: dict[int, np.ndarray] = {}
         for b in by_chars(t.to_batches(), "t"):
             for s in shingle_sets(b.column("t"), width):
@@ -235,11 +254,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     sent = blocked.cogroup(reps.groupBy("block")).applyInArrow(trimmed(count), SENT)
     answers = scratch.save(sent.groupBy("bucket").applyInArrow(trimmed(total), "block int, bucket int, df binary"))
-    del sent
-    release(spark)
 
     # what a block needs: its classes and the frequencies of its shingles
-    given = reps.select("block", "doc_id", "id", "h", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("df"))
+    given = reps.select("block", "th", "id", "h", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("df"))
     given = given.unionByName(answers, allowMissingColumns=True)
 
     def prefixes(t: pa.Table, g: pa.Table) -> pa.Table:
@@ -267,44 +284,68 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     found = blocked.cogroup(given.groupBy("block")).applyInArrow(trimmed(prefixes), "id long, n long, m long, shingles binary, sketch binary, tokens array<long>")
     sets = scratch.save(found)
-    del found
-    release(spark)
     scratch.drop(answers)
-    entries = sets.select("id", "n", "m", F.explode("tokens").alias("token"))
-    whole = sets.select("id", "n", "shingles")
+    return Prepared(scratch, blocks, every, classes, sets)
 
-    # hubs: of the classes near in size that share a token, the one with the fewest shingles of its own
-    near = entries.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / 0.11))
-    own = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), F.col("id"))
-    hubs = near.groupBy("token", "size").agg(F.min(own)["id"].alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = near.join(hubs, ["token", "size"]).where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    links = scratch.save(verify(scratch.save(pairs), whole))
-    release(spark)
-    label = connected_components(links, scratch)
 
-    # the signature trees: tokens whose entries are not of one component yet
-    labelled = entries.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = scratch.save(labelled)
+def tree_pairs(p: Prepared, labelled: DataFrame, chunk: int) -> DataFrame:
+    """Pairs (a < b) of classes of different labels that share a prefix shingle and may link, from the signature trees.
+    labelled: a written table of entries with their labels."""
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", F.ceil(F.col("c") / chunk).alias("chunks"))
-    left = labelled.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    left = lookup(labelled, mixed, "token", "inner").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     left = left.withColumn("other", other).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     side = F.when(F.col("lo") == F.col("hi"), 2).when(F.col("mine") == F.col("lo"), 0).otherwise(1)
-    slice_ = F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(4 * blocks))
-    left = left.select(slice_.alias("slice"), F.xxhash64("token", "lo", "hi").alias("token"), "id", "n", "m", "label", side.alias("side")).join(sets.select("id", "sketch"), "id")
+    slice_ = F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(4 * p.blocks))
+    left = left.select(slice_.alias("slice"), F.xxhash64("token", "lo", "hi").alias("token"), "id", "n", "m", "label", side.alias("side")).join(p.sets.select("id", "sketch"), "id")
 
     def tree(t: pa.Table) -> pa.Table:
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, SKETCH)
         a, b = candidate_pairs(*(t.column(c).to_numpy() for c in ("token", "id", "n", "m", "label", "side")), sketch)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = left.groupBy("slice").applyInArrow(trimmed(tree), "a long, b long").distinct()
-    more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"))
-    release(spark)
-    links = links.union(verify(more, whole))
-    label = scratch.save(connected_components(links, scratch))
+    return left.groupBy("slice").applyInArrow(trimmed(tree), "a long, b long").distinct()
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (the smallest key with an equal set), text_hash and is_first for each
+    row. is_first: the row, by key and text_hash, that stands for its component, or one without shingles."""
+    p = prepare(docs, key, text, width, block_chars)
+    scratch, entries, whole = p.scratch, p.entries(), p.sets.select("id", "n", "shingles")
+
+    # hubs: of the classes near in size that share a token, the one with the fewest shingles of its own
+    near = entries.select("id", F.xxhash64("token", F.floor(F.log(F.col("n").cast("double")) / 0.11)).alias("slot"), ((F.col("n") - F.col("m")) / F.col("n")).alias("own"))
+    hubs = near.groupBy("slot").agg(F.min(F.struct("own", "id"))["id"].alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = lookup(near.drop("own"), hubs, "slot", "inner").where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    pairs = scratch.save(pairs)
+    links = scratch.save(verify(pairs, whole))
+    label = connected_components(links, scratch)
+
+    # the signature trees: tokens whose entries are not of one component yet
+    labelled = scratch.save(entries.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    more = scratch.save(tree_pairs(p, labelled, chunk).join(pairs, ["a", "b"], "left_anti"))
+    links = scratch.save(links.union(verify(more, whole)))
+    scratch.drop(label, labelled, more, pairs)
+    label = connected_components(links, scratch)
 
-    of_class = classes.join(label, "id", "left").select("h", F.coalesce("label", "id").alias("c"), F.col("key").alias("class_id"))
-    out = every.join(of_class, "h", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("c") < NULL_ID, F.col("c"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    classes = scratch.save(p.classes.join(label, "id", "left").withColumn("c", F.coalesce("label", "id")).drop("label"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f")
+    of_class = lookup(classes, classes.groupBy("c").agg(first), "c").select("h", F.col("doc_id").alias("class_id"), "f")
+    out = lookup(p.every, of_class, "h")
+    scratch.drop_but(p.every, classes)
+    alone = F.col("n") == 0
+    component, of_set = (F.when(alone, F.col("doc_id")).otherwise(F.col(c)) for c in ("f.doc_id", "class_id"))
+    is_first = alone | (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), of_set.alias("class_id"), F.col("th").alias("text_hash"), is_first.alias("is_first"))
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK) -> DataFrame:
+    """a, b: the smallest keys of each two classes that link, a pair once (null where no row of a class has a key)."""
+    p = prepare(docs, key, text, width, block_chars)
+    labelled = p.scratch.save(p.entries().withColumn("label", F.col("id")))
+    pairs = p.scratch.save(tree_pairs(p, labelled, chunk))
+    found = p.scratch.save(verify(pairs, p.sets.select("id", "n", "shingles")))
+    p.scratch.drop_but(found, p.classes)
+    a, b = (p.classes.select(F.col("id").alias(c), F.col("doc_id").alias(f"key_{c}")) for c in "ab")
+    both = lookups(found, [("a", a), ("b", b)], "inner")
+    return both.select(F.least("key_a", "key_b").alias("a"), F.when(F.col("key_a").isNotNull() & F.col("key_b").isNotNull(), F.greatest("key_a", "key_b")).alias("b"))

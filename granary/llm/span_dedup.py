@@ -1,19 +1,19 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into units that end with sentence or clause punctuation or a line break. From every unit a span runs
-over the least number of consecutive units that is at least MIN_UNITS and has at least MIN_WORDS words; spans are
-hashed with letter case and white space evened out. All spans of all documents meet (through exchange.py); the first
-place of a repeated span, by document key and position, stays, and the units that any other place covers are removed.
+A text is cut into sentences, which end with ".", "!", "?" or a line break. From every sentence a span runs over the
+least number of consecutive ones that is at least MIN_UNITS and has at least MIN_WORDS words; spans are hashed with
+letter case and white space evened out. All spans of all documents meet (through exchange.py); the first
+place of a repeated span, by document key and position, stays, and the sentences that any other place covers are removed.
 
-Where units are long or a repeat begins and ends inside them, it may hold no such span. So runs of GRAM words meet as
-well, whatever their units: of every WINDOW consecutive ones that with the least hash, unless a span lies inside it.
+Where sentences are long or a repeat begins and ends inside them, it may hold no such span. So runs of GRAM words meet
+as well, whatever their sentences: of every WINDOW consecutive ones that with the least hash, unless a span lies inside it.
 Any repeat of GRAM + WINDOW - 1 = 50 words thus holds a run or a span that all its copies choose; of a longer one fewer
-than 50 consecutive words stay. Of a unit that a run covers in part the other words stay; n_removed counts it.
+than 50 consecutive words stay. Of a sentence that a run covers in part the other words stay; n_removed counts it.
 
 Cases: null or empty texts, and texts with fewer words than a span, keep their text (null becomes empty) and remove
 nothing. A document that only repeats others ends up empty, and stays as a row. A null key comes after all others.
-Repeated rows with one key are taken in the order of their texts; of equal rows the first keeps its text. Long texts
-are read whole. dedup() returns key, text and counts only, so other columns can't clash.
+Rows with one key are taken in a fixed order of their texts (by hash, then by letters); of equal rows one keeps its
+text. Long texts are read whole. dedup() returns key, text and counts only, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,14 +25,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks_for, mix, pack, release, text_column, trimmed, unpack
+from .common import U64, Scratch, blocks_for, keyed, mix, pack, trimmed, unpack
 from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
 
 MIN_UNITS, MIN_WORDS = 3, 20
 GRAM, WINDOW = 26, 25
-UNIT = re.compile(r"[^.!?;:,\n]*(?:[.!?;:,\n]+\s*|\Z)")
+UNIT = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|\Z)")
 WORD, SPACE = re.compile(r"\S+"), re.compile(r"\s*")
 BASE = 0x9E3779B97F4A7C15
 LAST = np.iinfo(np.int64).max
@@ -172,10 +171,9 @@ class Block:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_units: int = MIN_UNITS, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_column(text).alias("t"))
+    scratch, rows = Scratch(docs.sparkSession), keyed(docs, key, text)
     blocks = blocks_for(rows, "t", block_chars)
-    blocked = with_block(rows, "doc_id", blocks).groupBy("block")
+    blocked = with_block(rows, blocks, "doc_id", "th").drop("th").groupBy("block")
 
     def first_places(t: pa.Table) -> pa.Table:
         b, out = Block(t, min_units, min_words), new_rows()
@@ -198,8 +196,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_units: i
 
     sent = blocked.applyInArrow(trimmed(first_places), SENT)
     answers = scratch.save(sent.groupBy("bucket").applyInArrow(trimmed(owners), "block int, bucket int, mine binary"))
-    del sent
-    release(spark)
 
     def remove(t: pa.Table, got: pa.Table) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in OUT.split(", ")}
