@@ -5,13 +5,14 @@ corpus's complete key universe: all suffixes of all its hosts. Level 1 encodes t
 2 the unlisted keys that level 1 lets pass; level 3 the listed ones that level 2 lets pass, and so on until a level
 errs on no key. Membership is then exact for every key of the corpus: the first level that rejects a key decides, by
 its parity. Levels are bit arrays held as literals in the expression, so that no join is needed; their size follows
-the list (about 1.44 log2(unlisted / listed) bits a listed key and a few more), is checked against MAX_BITS, and
-beyond that membership is found by a semi join with the list.
-
-Cases: a null url, or one without "://", has empty host and path, matches nothing and is allowed. Repeated rows are
-judged alike. An empty list or an empty table gives a cascade without levels, which lists nothing. Keys of the list
-that no url of the corpus has are left out. Extra columns are carried along by judge(); columns that have its
-output's names are replaced.
+the list: about 1.44 log2(unlisted / listed) bits a listed key and a few more. Where that is more than MAX_BITS, the
+keys are cut into ranges of their hash, each with a cascade of its own that fits; the pages then pass one range after
+the other, and what was found so far is written between them.
+
+Cases: a null url, or one without "://", has empty host and path, matches nothing and is allowed, whatever the list.
+Repeated rows are judged alike. An empty list or an empty table gives a cascade without levels, which lists nothing;
+null and empty keys of the list list nothing either. Keys of the list that no url of the corpus has are left out. Extra
+columns are carried along by judge(); columns that have its output's names, in any letter case, are replaced.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Carried, Scratch
 
-#: Bits that a cascade may have to be sent with the plan (4 MB).
+#: Bits that a cascade may have to be sent with a plan (4 MB).
 MAX_BITS = 1 << 25
 
 
@@ -95,28 +96,37 @@ class Cascade:
         return out
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS) -> Cascade | None:
-    """Over the distinct keys of universe (a column key), of which those in listed are encoded. None: too large."""
-    scratch = Scratch(universe.sparkSession)
+def _bits(n_in: int, n_out: int) -> tuple[float, float]:
+    """The first level's rate of false positives, and about how many bits a cascade takes."""
+    rate = min(0.5, max(n_in / max(n_out, 1) / math.sqrt(2), 1e-9))
+    return rate, n_in * 1.4427 * math.log2(1 / rate) + 2 * n_out * rate * 1.4427 + 64 * 8
+
+
+def build_cascades(universe: DataFrame, listed: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> list[Cascade]:
+    """Over the distinct keys of universe (a column key), of which those in listed are encoded: one for each range of
+    the keys' hashes (range_of), as many as keep each below max_bits."""
     keys = universe.select("key").distinct()
     both = scratch.save(keys.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False))))
     n_in, n_out = both.where("listed").count(), both.where("not listed").count()
-    levels: list[Level] = []
-    inside, outside = both.where("listed"), both.where("not listed")
-    total = 0
-    while n_in:
-        rate = min(0.5, max(n_in / max(n_out, 1) / math.sqrt(2), 1e-9)) if not levels else 0.5
-        number = len(levels) + 1
-        total += n_in * 1.4427 * math.log2(1 / rate)
-        if total > max_bits:
-            return None
-        level = build_level(inside, n_in, number, rate)
-        levels.append(level)
-        outside = outside.where(level.passes(F.col("key")))
-        n_next = outside.count()
-        inside, outside, n_in = outside, inside, n_next  # the next level encodes this one's false positives
+    ranges = max(1, math.ceil(_bits(n_in, n_out)[1] / max_bits))
+    out = []
+    for r in range(ranges):
+        part = both if ranges == 1 else both.where(range_of(F.col("key"), ranges) == r)
+        inside, outside, levels = part.where("listed"), part.where("not listed"), []
+        n_in = inside.count()
+        while n_in:
+            rate = 0.5 if levels else _bits(n_in, outside.count())[0]
+            level = build_level(inside, n_in, len(levels) + 1, rate)
+            levels.append(level)
+            outside = outside.where(level.passes(F.col("key")))
+            inside, outside, n_in = outside, inside, outside.count()  # the next level encodes this one's false positives
+        out.append(Cascade(levels))
     scratch.drop(both)
-    return Cascade(levels)
+    return out
+
+
+def range_of(key: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(ranges))
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -128,21 +138,25 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out
 
 
-def judge(pages: DataFrame, listed: list[str], rules: list[tuple[str, str, str]], url: str = "url", max_bits: int = MAX_BITS) -> DataFrame:
-    """pages with host, path, rule and verdict: the longest rule's, else block if the host or a parent is listed."""
-    new = ("host", "path", "rule", "verdict")
-    spark = pages.sparkSession
-    base = pages.select(*[f"`{c}`" for c in pages.columns if c not in new], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    hosts = pages.select(host_of(F.col(url)).alias("host")).where("host <> ''").distinct()
-    universe = hosts.select(F.explode(suffixes(F.col("host"))).alias("key"))
-    blocklist = spark.createDataFrame([(k.lower(),) for k in listed], "key string")
-    cascade = build_cascade(universe, blocklist, max_bits)
-    if cascade is not None:
-        blocked = F.exists(suffixes(F.col("host")), lambda k: cascade.contains(k))
+def judge(pages: DataFrame, listed: list[str] | DataFrame, rules: list[tuple[str, str, str]], url: str = "url", max_bits: int = MAX_BITS) -> DataFrame:
+    """pages with host, path, rule and verdict: the longest rule's, else block if the host or a parent is listed.
+    listed: hosts, as a list or as a frame's first column."""
+    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
+    c = Carried(pages, "host", "path", "rule", "verdict")
+    address = F.col(c.at(url)).cast("string")
+    base = c.df.select(*c.kept, host_of(address).alias("host"), path_of(address).alias("path"))
+    if isinstance(listed, DataFrame):
+        blocklist = Carried(listed).df.select(F.lower(F.col("_c0").cast("string")).alias("key"))
     else:
-        bad = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("key")).join(blocklist, "key", "left_semi").select("host").distinct()
-        base = base.join(bad.withColumn("__bad", F.lit(True)), "host", "left")
-        blocked = F.col("__bad").isNotNull()
-    r = longest_rule(F.col("host"), F.col("path"), rules)
-    out = base.withColumn("rule", r["rule"]).withColumn("verdict", F.coalesce(r["verdict"], F.when(blocked, "block").otherwise("allow")))
-    return out.drop("__bad")
+        blocklist = spark.range(1).select(F.explode(F.array(*[F.lit(k.lower()) for k in listed]).cast("array<string>")).alias("key"))
+    blocklist = blocklist.where("key <> ''")
+    universe = c.df.select(host_of(address).alias("host")).where("host <> ''").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
+    cascades = build_cascades(universe, blocklist, scratch, max_bits)
+    # the empty host is no key of the universe: the cascades may not be asked about it
+    asks = lambda cascade, r: F.exists(suffixes(F.col("host")), lambda k: (k != "") & (range_of(k, len(cascades)) == r if len(cascades) > 1 else F.lit(True)) & cascade.contains(k))
+    blocked = (F.col("host") != "") & asks(cascades[0], 0)
+    for r, cascade in enumerate(cascades[1:], 1):
+        before = scratch.save(base.withColumn("_bad", blocked))
+        base, blocked = before, F.col("_bad") | ((F.col("host") != "") & asks(cascade, r))
+    rule = longest_rule(F.col("host"), F.col("path"), rules)
+    return c.back(base, "host", "path", rule["rule"].alias("rule"), F.coalesce(rule["verdict"], F.when(blocked, "block").otherwise("allow")).alias("verdict"))
