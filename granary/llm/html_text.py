@@ -5,12 +5,13 @@ that it stands in; both are log-odds learned from labelled pages: pages that mar
 <main>, a bounded sample of them. One linear scan (Kadane) finds the contiguous region with the greatest sum, and the
 region's text is read out block by block. Inside the region, elements that are never main text (scripts, styles,
 forms, menus, asides, adverts, comment sections and the like, by name or by a word of their class, id or role) are
-skipped, and cost nothing where they stand in an <article> or <main>.
+skipped, and cost nothing where they stand in an <article> or <main>. Such a word tells nothing where the element holds
+the main element or most of the page's words: a text may be about a notice, or shared.
 
 Cases: null html gives the empty text; so does a page without words outside such elements. Repeated rows are treated
 alike. Unclosed elements end where an enclosing one ends; a tag cut off by the end of the page is dropped. Very long
 pages take time and memory in proportion. Without labelled pages the prior weights hold. Extra columns are carried
-along by extract(); columns with its output's names are replaced.
+along by extract(); columns with its output's names, in any letter case, are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample
+from .common import Carried, bounded_sample, by_chars
 
 #: Labelled pages to learn from at most: those with the smallest hash.
 MAX_LABELLED = 2_000
@@ -37,6 +38,8 @@ NEVER = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "
 NEVER_WORDS = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promotion", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget"}
 MAIN = {"article", "main"}
 SKIP = "skip"
+#: The share of a page's words that makes an element's class say nothing.
+MOST = 0.8
 LANDMARK = {"html", "head", "body", "header", "section"} | NEVER | MAIN
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)(>|\Z|(?=<))|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -45,53 +48,82 @@ WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
-def parse(page: str):
+def parse(page: str, trusted: frozenset | None = None):
     """(kind, name, value, context): kind is 'open', 'close' or 'text'; context is the landmark a token stands in.
 
-    A text's value is its decoded characters and whether they may be main text at all.
+    A text's value is its decoded characters and whether they may be main text at all. trusted: numbers of the marked
+    elements whose marks say nothing; by default those with a main element or most of the words, found by a first pass.
     """
-    out, stack, pos = [], [], 0
+    out, pos = [], 0
+    stack: list[tuple] = []  # name, context, never, whether by a name, number of the mark
+    at: dict[str, list[int]] = {}  # where the open elements of a name stand on the stack
+    words = mains = n_marked = 0
+    opened: dict[int, list] = {}  # of marked elements: words and main elements before, whether in a main one, both after
+
+    def closed(entry: tuple) -> None:
+        at[entry[0]].pop()
+        if entry[4] is not None:
+            opened[entry[4]] += [words, mains]
+
     while pos < len(page):
         m = TOKEN.match(page, pos)
         pos = m.end()
         name = m[2]
+        top = stack[-1] if stack else ("", "", False, False, None)
         if name is None:
             t = m[0]
             if t.startswith("<!") or t.startswith("<?"):
                 continue
-            top = stack[-1] if stack else ("", "", False)
-            out.append(("text", "", html.unescape(t), top[1], top[2]))
+            value = html.unescape(t)
+            words += 0 if top[3] else len(value.split())
+            out.append(("text", "", value, top[1], top[2]))
             continue
         name = name.lower()
         if m[4] != ">" and pos >= len(page):
             break  # cut off in the middle of a tag
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            was = stack[at] if at is not None else ("", "", False)
-            if at is not None:
-                del stack[at:]
+            was = ("", "", False)
+            if at.get(name):
+                to = at[name][-1]
+                was = stack[to]
+                while len(stack) > to:
+                    closed(stack.pop())
             top = stack[-1] if stack else ("", "", False)
             out.append(("close", name, name, SKIP if was[1] == SKIP else top[1], top[2]))
             continue
-        top = stack[-1] if stack else ("", "", False)
-        marked = ""
+        marked, number = "", None
         if m[3]:
             found = set(WORD.findall(" ".join(a or b or c for a, b, c in MARKS.findall(m[3])).lower())) & NEVER_WORDS
-            marked = min(found, default="")
-        never = top[2] or name in NEVER or bool(marked) or (name == "header" and top[1] not in MAIN)
+            if found:
+                number, n_marked = n_marked, n_marked + 1
+                marked = min(found) if number not in (trusted or ()) else ""
+        by_name = top[3] or name in NEVER or (name == "header" and top[1] not in MAIN)
+        never = top[2] or by_name or bool(marked)
         context = marked or (name if name in LANDMARK else top[1])
         if never and (top[1] in MAIN or top[1] == SKIP):
             context = SKIP  # left out of a main text, but no reason to end it
         out.append(("open", name, f"{name}.{marked}" if marked else name, context, never))
+        if number is not None:
+            opened[number] = [words, mains, top[1] in MAIN]
+        mains += name in MAIN
         if name in VOID or m[3].rstrip().endswith("/"):
+            if number is not None:
+                opened[number] += [words, mains]
             continue
-        stack.append((name, context, never))
+        at.setdefault(name, []).append(len(stack))
+        stack.append((name, context, never, by_name, number))
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, pos)
             stop = end.start() if end else len(page)
             if stop > pos:
                 out.append(("text", "", page[pos:stop], context, True))
             pos = stop
+    if trusted is None and opened:
+        while stack:
+            closed(stack.pop())
+        most = frozenset(i for i, (w0, m0, within, w1, m1) in opened.items() if m1 > m0 or (w1 - w0 > MOST * words and (within or not mains)))
+        if most:
+            return parse(page, most)
     return out
 
 
@@ -151,25 +183,38 @@ class PageModel:
         return w
 
 
-def main_text(page: str | None, model: PageModel) -> str:
-    tokens = parse(page or "")
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Where the contiguous region with the greatest sum begins and ends: the first such, and the shortest, as none of
+    its beginnings has a sum of 0 or less. (0, 0) if no sum is above 0."""
     best = total = 0.0
-    first = start = 0
-    last = -1
-    for i, (kind, _name, value, context, never) in enumerate(tokens):
+    first = start = end = 0
+    for i, x in enumerate(scores):
+        total += x
+        if total > best:
+            best, first, end = total, start, i + 1
+        if total <= 0:
+            total, start = 0.0, i + 1
+    return first, end
+
+
+def token_scores(tokens: list, model: PageModel) -> list[float]:
+    out = []
+    for kind, _name, value, context, never in tokens:
         if context == SKIP:
-            pass
+            out.append(0.0)
         elif kind == "text":
             n = len(value.split())
-            total += n * model.of_word(context, never) if n else 0.0
+            out.append(n * model.of_word(context, never) if n else 0.0)
         else:
-            total += model.of_tag(tag_key(kind, value, context))
-        if total > best:
-            best, first, last = total, start, i
-        if total <= 0:
-            total, start = 0.0, i + 1
+            out.append(model.of_tag(tag_key(kind, value, context)))
+    return out
+
+
+def main_text(page: str | None, model: PageModel) -> str:
+    tokens = parse(page or "")
+    first, end = best_region(token_scores(tokens, model))
     blocks, block = [], []
-    for kind, name, value, _context, never in tokens[first : last + 1]:
+    for kind, name, value, _context, never in tokens[first:end]:
         if kind == "text":
             if not never:
                 block.append(value)
@@ -185,7 +230,8 @@ def main_text(page: str | None, model: PageModel) -> str:
 
 def fit(pages: DataFrame, column: str = "html", max_labelled: int = MAX_LABELLED) -> PageModel:
     """From at most max_labelled pages that mark their main text; the counts have a row for each tag and context."""
-    marked = pages.select(F.col(column).cast("string").alias("h")).where(F.lower("h").contains("<article") | F.lower("h").contains("<main"))
+    c = Carried(pages)
+    marked = c.df.select(F.col(c.at(column)).cast("string").alias("h")).where(F.lower("h").contains("<article") | F.lower("h").contains("<main"))
     hashes = marked.select(F.xxhash64("h").alias("k")).distinct()
     chosen = bounded_sample(hashes, F.col("k"), max_labelled)  # so few hashes that they may be broadcast
     sample = marked.withColumn("k", F.xxhash64("h")).join(F.broadcast(chosen), "k", "left_semi").select("h")
@@ -200,20 +246,20 @@ def fit(pages: DataFrame, column: str = "html", max_labelled: int = MAX_LABELLED
             yield pa.RecordBatch.from_pydict({"kind": kind, "name": name, "inside": inside, "n": list(total.values())})
 
     got = sample.mapInArrow(count, "kind string, name string, inside boolean, n long").groupBy("kind", "name", "inside").agg(F.sum("n").alias("n"))
-    got = got.orderBy(F.desc("n")).limit(20_000).collect()  # names in a bounded sample
-    return PageModel(Counter({(r.kind, r.name, r.inside): r.n for r in got}))
+    return PageModel(Counter({(r.kind, r.name, r.inside): r.n for r in got.collect()}))  # names in a bounded sample
 
 
 def extract(pages: DataFrame, model: PageModel, column: str = "html") -> DataFrame:
-    """pages with text and n_chars (its code points)."""
+    """pages, without the html, with text and n_chars (its code points)."""
+    c = Carried(pages, "text", "n_chars", column)
+    rows, at = c.with_text(column)
     new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    kept = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", column)]
-    df = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(column).cast("string").alias("__html"))
 
     def apply(batches):
-        for b in batches:
-            texts = [main_text(h, model) for h in b.column("__html").to_pylist()]
-            cols = [c for c, n in zip(b.columns, b.schema.names) if n != "__html"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), "text", "n_chars"])
+        for b in by_chars(batches, at):
+            texts = [main_text(h, model) for h in b.column(at).cast(pa.string()).to_pylist()]
+            cols = [c for c, n in zip(b.columns, b.schema.names) if n != at]
+            names = [n for n in b.schema.names if n != at]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
-    return df.mapInArrow(apply, T.StructType([*kept, *new]))
+    return c.back(rows.mapInArrow(apply, T.StructType([*[f for f in rows.schema.fields if f.name != at], *new])), "text", "n_chars")
