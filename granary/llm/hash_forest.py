@@ -5,17 +5,18 @@ as angles do. A tree is a sorted array of 64-bit hash strings: signs of random p
 in which a bounded sample varies. A query descends each tree to its longest matching prefix, then all trees ascend
 together, one bit at a time, until they hold enough candidates; these are ranked by their exact inner products.
 
-The index is cut into shards of bounded size by a hash of the vector's id, the queries into blocks; a shard's forest
-answers each block, and a query's best of all shards are merged. All rows are indexed. The number of candidates is a
-share of the shard, so the expected recall doesn't fall as the table grows. Against brute force the recall is at least
-0.9 on the given tables; their vectors hardly cluster (the 20 nearest are little nearer than thousands of others), so
-that takes most of a shard as candidates. Vectors that do cluster need a smaller share.
-
-Cases: vectors that are null, zero, or hold null or non-finite components, rows with a null id, and vectors whose
-length isn't that of most others take no part. A row is never its own neighbour; other rows with the same vector are.
-Rows that repeat an id are
-all searched, as queries and as candidates; an id is listed once, with its best score, and never for itself. Ties go to the smaller id. With fewer candidates
-than k all are returned; an empty table gives an empty result. Other columns are not read.
+The index is cut into shards of bounded size by a hash of the row, the queries into blocks, each packed into one row. A
+shard's forest is built once; then the blocks stream past it, and a query's best of all shards are merged. All rows are
+indexed. The number of candidates is a share of the shard, so the expected recall doesn't fall as the table grows.
+Against brute force the recall is at least 0.9 on the given tables; their vectors hardly cluster (the 20 nearest are
+little nearer than thousands of others), so that takes most of a shard as candidates. Vectors that do cluster need a
+smaller share.
+
+Cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null id take no part. Vectors
+of different lengths have no inner product: each length is an index of its own. A row is never its own neighbour; other
+rows with the same vector are, and so are other rows with the same id. Rows that repeat an id are queries each, and have
+ranks of their own. Ties go to the smaller id. With fewer candidates than k all are returned; an empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample
+from .common import Carried, Scratch, bounded_sample
 
-TREES, BITS, SHARE, SHARD, QUERY_BLOCK, SAMPLE, SEED = 32, 64, 1.25, 8_192, 4_096, 4_096, 7
+TREES, BITS, SHARE, SHARD, QUERY_BLOCK, SAMPLE, SEED = 32, 64, 0.8, 8_192, 2_048, 4_096, 7
+#: Tasks that shards are dealt to at most; a task has them one after the other.
+TASKS = 10_000
 U64 = np.uint64
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    v = F.col("v")
+    c, v = Carried(df), F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    out = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull())
+    out = c.df.select(F.col(c.at(key)).cast("long").alias("id"), F.col(c.at(vector)).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull())
     return out.where(~bad & F.exists(v, lambda x: x != 0))
 
 
@@ -42,7 +45,7 @@ def projections(sample: np.ndarray, trees: int, bits: int, seed: int) -> np.ndar
     """[tree, bit, dimension]: Gaussian, shaped by the square root of the sample's covariance."""
     d = sample.shape[1]
     w = np.random.default_rng(seed).standard_normal((trees, bits, d))
-    if len(sample) < 2 * d:
+    if len(sample) < 2 * d:  # too few to tell, or another length than most
         return w
     value, vector = np.linalg.eigh(np.cov(sample.T))
     return w @ ((vector * np.sqrt(np.maximum(value, value.max() * 1e-6))) @ vector.T)
@@ -93,69 +96,75 @@ class Forest:
             yield np.flatnonzero(mark)
 
 
+def pad(x: np.ndarray) -> np.ndarray:
+    """x with the coordinate that makes all rows as long as the longest."""
+    square = (x * x).sum(1, keepdims=True)
+    return np.hstack((x, np.sqrt(np.maximum(square.max(initial=0) - square, 0))))
+
+
+FOUND = "query_row long, query_id long, vec_id long, row long, score double"
+
+
 def search(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, share: float = SHARE, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that is_query (a function of the id column) holds for."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
-    good = usable(rows, key, vector)
-    lengths = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], out)
-    dim = lengths["d"]
-    good = good.where(F.size("v") == dim)
-    longest = float(good.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]) ** 0.5
-    picked = bounded_sample(good, F.xxhash64("id", "v"), SAMPLE)
-    sample = np.array([r.v for r in picked.select("v").collect()]).reshape(-1, dim)
-    pad = lambda x: np.sqrt(np.maximum(longest**2 - (x * x).sum(1, keepdims=True), 0))
-    w = projections(np.hstack((sample, pad(sample))), trees, BITS, SEED)
-    n = lengths["count"]
-    shards = max(1, -(-n // shard))
-    blocks = max(1, -(-good.where(is_query(F.col("id"))).count() // query_block))
-    deal = lambda salt, m: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(m)).cast("int")
-
-    # a shard and a block of queries are one row each: they meet as many times as there are pairs of them
+    good = usable(rows, key, vector).select(F.monotonically_increasing_id().alias("row"), "id", "v", F.size("v").alias("d"))
+    good = scratch.save(good)  # from here on a row's number stands
+    asked = good.where(is_query(F.col("id")))
+    sizes = good.groupBy("d").agg(F.count("*").alias("n"), F.count_if(is_query(F.col("id"))).alias("q")).orderBy(F.desc("n"), "d").collect()  # a row a length
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    main = sizes[0].d
+    picked = bounded_sample(good.where(F.col("d") == main), F.xxhash64("id", "v"), SAMPLE)
+    sample = pad(np.array([r.v for r in picked.select("v").collect()]).reshape(-1, main))
+    learned = projections(sample, trees, BITS, SEED)
+    plan, at = [], 0
+    for r in sizes:
+        shards = -(-r.n // shard)
+        plan.append((r.d, at, shards, max(1, -(-r.q // query_block))))
+        at += shards
+    plan = F.broadcast(spark.createDataFrame(plan, "d int, first long, shards long, blocks long"))
+
+    # a shard and a block of queries are one row each
     def packed(t: pa.Table) -> pa.Table:
         x = np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64)
-        return pa.table({"g": t.column("g")[:1], "ids": pa.array([t.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), "x": pa.array([x.astype("<f8").tobytes()], pa.binary())})
-
-    def groups(df: DataFrame, salt: int, m: int) -> DataFrame:
-        return df.withColumn("g", deal(salt, m)).groupBy("g").applyInArrow(packed, "g int, ids binary, x binary")
-
-    index = groups(good, 1, shards).select(F.col("g").alias("shard"), "ids", "x")
-    queries = groups(good.where(is_query(F.col("id"))), 2, blocks).select(F.col("g").alias("block"), "ids", "x")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(t.column("ids")[0].as_py(), "<i8"), np.frombuffer(t.column("x")[0].as_py(), "<f8").reshape(-1, dim)
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            (ids, x), (qids, q) = arrays(left), arrays(right)
-            forest = Forest(np.hstack((x, pad(x))), w)
-            # all trees hold the same rows: so many places have k ids at least besides the query's
-            copies = np.unique(ids, return_counts=True)[1]
-            repeated = copies.max() > 1
-            least = max(int(share * len(x)), int(np.sort(copies)[-k - 1 :].sum()) * trees if repeated else (k + 1) * trees)
-            for qid, v, at in zip(qids.tolist(), q, forest.candidates(np.hstack((q, np.zeros((len(q), 1)))), least)):
-                at = at[ids[at] != qid]
-                s = (x[at] * v).sum(1)  # row by row the same sum, whatever the shard
-                if repeated:  # each id's best row
-                    order = np.lexsort((-s, ids[at]))
-                    sorted_ids = ids[at][order]
-                    order = order[np.append(True, sorted_ids[1:] != sorted_ids[:-1])[: len(order)]]
-                    at, s = at[order], s[order]
-                if len(at) > k:
-                    cut = np.partition(s, len(s) - k)[len(s) - k]
-                    at, s = at[s >= cut], s[s >= cut]
-                best = np.lexsort((ids[at], -s))[:k]
-                for c, y in zip(cols, (np.full(len(best), qid), ids[at][best], s[best])):
-                    c.append(y)
-        ids_, vecs, scores = (np.concatenate(c) if c else np.zeros(0) for c in cols)
-        return pa.table({"query_id": pa.array(ids_.astype(np.int64)), "vec_id": pa.array(vecs.astype(np.int64)), "score": pa.array(scores.astype(np.float64))})
-
-    found = index.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(answer, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        numbers = {c: pa.array([t.column(c).to_numpy().astype("<i8").tobytes()], pa.binary()) for c in ("row", "id")}
+        return pa.table({"d": t.column("d")[:1], "g": t.column("g")[:1], **numbers, "x": pa.array([x.astype("<f8").tobytes()], pa.binary())})
+
+    def groups(df: DataFrame, salt: int, number: str) -> DataFrame:
+        dealt = df.join(plan, "d").withColumn("g", F.pmod(F.xxhash64("row", F.lit(salt)), F.col(number))).select("d", "g", "row", "id", "v")
+        return dealt.groupBy("d", "g").applyInArrow(packed, "d int, g long, row binary, id binary, x binary").join(plan, "d")
+
+    index = groups(good, 1, "shards").select((F.col("first") + F.col("g")).alias("shard"), F.lit(-1).cast("long").alias("block"), "d", "row", "id", "x")
+    queries = groups(asked, 2, "blocks").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).alias("shard"), F.col("g").alias("block"), "d", "row", "id", "x")
+    streams = index.union(queries).repartition(min(at, TASKS), "shard").sortWithinPartitions("shard", "block")
+
+    def answer(batches):
+        forest = rows_ = ids = x = mine = None
+        for b in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for number, block, d, r, i, v in zip(*(c.to_pylist() for c in b.columns)):
+                r, i, v = np.frombuffer(r, "<i8"), np.frombuffer(i, "<i8"), np.frombuffer(v, "<f8").reshape(-1, d)
+                if block < 0:
+                    mine, rows_, ids, x = number, r, i, v
+                    forest = Forest(pad(x), learned if d == main else projections(np.zeros((0, d + 1)), trees, BITS, SEED))
+                    continue
+                if mine != number:  # no row was dealt to this shard
+                    continue
+                least = max(int(share * len(x)), (k + 1) * trees)  # all trees hold the same rows: k besides the query's own
+                for qrow, qid, q, near in zip(r.tolist(), i.tolist(), v, forest.candidates(np.hstack((v, np.zeros((len(v), 1)))), least)):
+                    near = near[rows_[near] != qrow]
+                    s = (x[near] * q).sum(1)  # row by row the same sum, whatever the shard
+                    if len(near) > k:
+                        cut = np.partition(s, len(s) - k)[len(s) - k]
+                        near, s = near[s >= cut], s[s >= cut]
+                    best = np.lexsort((rows_[near], ids[near], -s))[:k]
+                    for c, y in zip(cols, (np.full(len(best), qrow), np.full(len(best), qid), ids[near][best], rows_[near][best], s[best])):
+                        c.append(y)
+            if cols[0]:
+                arrays = [pa.array(np.concatenate(c).astype(np.float64 if j == 4 else np.int64)) for j, c in enumerate(cols)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in FOUND.split(", ")])
+
+    found = streams.select("shard", "block", "d", "row", "id", "x").mapInArrow(answer, FOUND)
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
