@@ -3,17 +3,20 @@
 encode: texts become id streams with an end id each. A rolling hash over the last WINDOW ids cuts a stream into chunks
 (MIN to MAX ids, about 2 ** MASK_BITS), so that equal passages give equal chunks wherever they stand. The store has
 three Parquet tables, table=chunks, table=recipes and table=manifest, in one folder:
-  chunks    digest (BLAKE2b, 16 bytes), n, ids (little-endian, 2 bytes an id, or 4 where the vocabulary needs it): each
-            chunk once;
+  chunks    digest (BLAKE2b, 16 bytes), n, ids (little-endian, 2 bytes an id, or 4 where the vocabulary needs it), refs
+            (how often recipes name it): each chunk once;
   recipes   part, pos, doc_id, start, n_tokens, digests (one after the other), root: a document's chunks in order, in
             ascending doc_id order; root is the Merkle root of its digests;
   manifest  part, n_docs, n_tokens, root: the Merkle root of the part's documents' roots.
 read_documents() rebuilds the ids, read_digests() start, length and CRC; both check every digest and root against the
 stored bytes and fail on the first mismatch.
 
-A text's ids are those that the tokenizers library gives. The tokenizer must lower-case and drop white space, as its
-normalisation and pattern do: then nothing joins characters across ASCII white space, and each distinct word is
-encoded once and then looked up; a worker remembers a bounded number of words.
+A text's ids are those that the tokenizers library gives. Where the tokenizer lower-cases and drops white space, nothing
+joins characters across ASCII white space, and each distinct word is encoded once and then looked up; a worker remembers
+a bounded number of words. Whether a tokenizer is such a one is tried out when its file is loaded; with others, texts
+are encoded whole.
+
+A chunk that very many recipes name, as that of the empty text, is joined by several tasks (common.lookup).
 
 Cases: null text counts as empty and gives the end id alone; a null key sorts first. Repeated rows are kept: those that
 are equal share a recipe, written once for each. Texts of any length are cut like others. An empty table gives an
@@ -35,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_chars, strings, text_column, trim, words
+from .common import Carried, Scratch, by_chars, lookup, strings, text_column, trim, words
 
 WINDOW, MASK_BITS, MIN, MAX = 16, 8, 64, 1024
 DIGEST = 16
@@ -65,8 +68,12 @@ TOGETHER = 200
 PUNCTUATED = r"([0-9A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ſ])([!-&(-/:-@\[-`{-~])"
 
 
+#: Texts that tell whether words can be encoded one by one.
+PROBES = ["", " ", "a", "A b", " a  B\tc\n\nd ", "The QUICK brown-fox's tail, (3.5 kg)!", "x\r\ny\x0bz\x0c", "ÄÖ é\u0301 ß ǅ", "don't 'quote' it", "日本 語 👍 ok", "1 234 56", "a\xa0b \x85 c", "... -- !?", "tokenization of uncommonly longish words"]
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file that lower-cases; one for each worker process and file."""
+    """Ids of texts by a tokenizer file; one for each worker process and file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a process for each core
@@ -84,6 +91,7 @@ class Encoder:
             self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self._forget()
+        self.by_words = all(self._by_words(pa.array([x]), 0)[0].tolist() == [*self.tokenizer.encode(x, add_special_tokens=False).ids, 0] for x in PROBES)
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -116,6 +124,13 @@ class Encoder:
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts, each with its end id."""
+        if self.by_words:
+            return self._by_words(texts, end_id)
+        each = [[*ids, end_id] for ids in self._singly([x or "" for x in texts.to_pylist()])]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), self.dtype, int(sizes.sum())), np.concatenate(([0], np.cumsum(sizes)))
+
+    def _by_words(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         # special tokens are told by their exact letters, before the tokenizer lower-cases: A-Z wait for it then
         lower = not pc.any(pc.match_substring(texts, "<|")).as_py()
         if lower:
@@ -198,8 +213,8 @@ def _read(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> None:
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_column(text).alias("t"))
+    spark, scratch, c = docs.sparkSession, Scratch(docs.sparkSession), Carried(docs)
+    rows = c.df.select(F.col(c.at(key)).cast("long").alias("doc_id"), text_column(c.at(text)).alias("t"))
 
     def encode(batches):
         if tokenizer not in _workers:
@@ -208,6 +223,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, k
         for b in by_chars(batches, "t", 8_000_000):
             ids, ends = enc(b.column("t"), end_id)
             chunks: dict[bytes, tuple[int, bytes]] = {}
+            refs: dict[bytes, int] = {}
             docs_, recipes, sizes = [], [], []
             for doc, a, e, stops in zip(b.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), cuts(ids, ends)):
                 parts, at = [], a
@@ -215,6 +231,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, k
                     raw = ids[at:stop].tobytes()
                     d = digest(raw)
                     chunks[d] = (stop - at, raw)
+                    refs[d] = refs.get(d, 0) + 1
                     parts.append(d)
                     at = stop
                 docs_.append(doc)
@@ -228,18 +245,19 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, k
                     pa.array(list(chunks) + recipes, pa.binary()),
                     pa.array([x for x, _ in chunks.values()] + sizes, pa.int64()),
                     pa.array([x for _, x in chunks.values()] + [None] * len(docs_), pa.binary()),
+                    pa.array([refs[d] for d in chunks] + [1] * len(docs_), pa.int64()),
                 ],
-                names=["is_recipe", "doc_id", "body", "n", "ids"],
+                names=["is_recipe", "doc_id", "body", "n", "ids", "refs"],
             )
             del ids, chunks, recipes
             trim()
 
-    made = rows.mapInArrow(encode, "is_recipe boolean, doc_id long, body binary, n long, ids binary")
+    made = rows.mapInArrow(encode, "is_recipe boolean, doc_id long, body binary, n long, ids binary, refs long")
     # one pass over the texts: a chunk is kept once, equal recipes of one id are counted
-    once = made.groupBy("is_recipe", "doc_id", "body", "n").agg(F.first("ids").alias("ids"), F.count("*").alias("copies"))
+    once = made.groupBy("is_recipe", "doc_id", "body", "n").agg(F.first("ids").alias("ids"), F.sum("refs").alias("refs"))
     kind = F.when(F.col("is_recipe"), "unordered").otherwise("chunks")
-    once.select("doc_id", F.col("body").alias("digest"), "n", "ids", "copies", kind.alias("table")).write.option("compression", "zstd").partitionBy("table").parquet(folder)
-    recipes = _read(spark, folder, "unordered", "doc_id long, digest binary, n long, copies long").withColumnRenamed("digest", "body").select("doc_id", F.col("n").alias("n_tokens"), F.col("body").alias("digests"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    once.select("doc_id", F.col("body").alias("digest"), "n", "ids", "refs", kind.alias("table")).write.option("compression", "zstd").partitionBy("table").parquet(folder)
+    recipes = _read(spark, folder, "unordered", "doc_id long, digest binary, n long, refs long").withColumnRenamed("digest", "body").select("doc_id", F.col("n").alias("n_tokens"), F.col("body").alias("digests"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("refs"))).alias("copy"))
     # ascending order: ranges of doc_id, each with its tokens counted; a range's start is the sum of those before it
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "digests", "copy").withColumn("part", F.spark_partition_id())
     ordered = scratch.save(ordered)
@@ -321,22 +339,20 @@ def _pieces(spark: SparkSession, folder: str, value: str, kind: str, make) -> Da
                     raise ValueError(f"chunk {y.hex()} of {folder} is damaged")
             yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array([make(x, k) for x, k in zip(raw, n)], ARROW[kind])], names=["digest", "n", value])
 
-    def split(batches):
+    def intact(batches):
         for b in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for part, pos, doc, start, n, ds, root in zip(*(c.to_pylist() for c in b.columns)):
-                each = [ds[i : i + DIGEST] for i in range(0, len(ds), DIGEST)]
-                if merkle(each) != root:
+            for doc, ds, root in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digests", "root"))):
+                if merkle([ds[i : i + DIGEST] for i in range(0, len(ds), DIGEST)]) != root:
                     raise ValueError(f"the recipe of document {doc} in {folder} is damaged")
-                for i, d in enumerate(each):
-                    for column, v in zip(out, (part, pos, doc, start, n, i, d)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "pos", "doc_id", "start", "n_tokens", "seq", "digest"])
+            yield b
 
-    chunks = _read(spark, folder, "chunks", "digest binary, n long, ids binary").mapInArrow(check, f"digest binary, n long, {value} {kind}")
-    recipes = spark.read.parquet(f"{folder}/table=recipes").select("part", "pos", "doc_id", "start", "n_tokens", "digests", "root").mapInArrow(split, "part int, pos long, doc_id long, start long, n_tokens long, seq int, digest binary")
+    stored = _read(spark, folder, "chunks", "digest binary, n long, ids binary, refs long")
+    chunks = stored.select("digest", "n", "ids").mapInArrow(check, f"digest binary, n long, {value} {kind}")
+    recipes = spark.read.parquet(f"{folder}/table=recipes").select("part", "pos", "doc_id", "start", "n_tokens", "digests", "root")
+    each = F.transform(F.sequence(F.lit(0), (F.length("digests") / DIGEST).cast("int") - 1), lambda i: F.substring("digests", i * DIGEST + 1, F.lit(DIGEST)))
+    rows = recipes.mapInArrow(intact, recipes.schema).select("part", "pos", "doc_id", "start", "n_tokens", F.posexplode(each).alias("seq", "digest"))
     # left: a chunk that is missing shows as a null
-    joined = recipes.join(chunks, "digest", "left")
+    joined = lookup(rows, chunks, "digest", counts=stored.select("digest", F.col("refs").alias("count")))
     return joined.groupBy("part", "pos", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("seq", "n", value))).alias("pieces"))
 
 
