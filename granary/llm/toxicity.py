@@ -10,7 +10,8 @@ bit score and of the sum over its significant passages.
 Cases: null text counts as empty text; empty text has no segment and gets the score of none. Rows with a null key are
 scored but never learned from. Repeated rows are each scored; a key labelled twice counts as toxic if any label says so.
 Without labels of both kinds the model has no tokens and all scores are below one half. Columns other than key, text
-and label are not read, so clashing names don't matter; with_toxicity() replaces columns that have its output's names.
+and label are not read, so clashing names don't matter; with_toxicity() replaces columns that have its output's names,
+in any letter case.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, strings, text_column, trim, words
+from .common import Carried, Scratch, bounded_sample, by_chars, keyed, strings, trim, words
 
-#: Labelled rows to learn from at most (those with the smallest hash of their key), and tokens kept in the model.
-MAX_LABELLED, MAX_TOKENS = 40_000, 20_000
+#: Labelled rows to learn from at most: those with the smallest hash of their key. All their significant tokens count.
+MAX_LABELLED = 40_000
 #: The Dirichlet prior's mass as a share of all counts, the least texts and z-score of a token, and the loss per token.
 PRIOR_SHARE, MIN_TEXTS, MIN_Z, DRIFT = 0.05, 3, 4.0, 0.5
 #: A passage is significant if so high a score is expected in fewer texts of its length than this.
@@ -128,15 +129,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple:
     return tuple(w.tolist())
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> ToxicityModel:
-    """Learn from the labelled rows, at most max_labelled of them; only bounded counts reach the driver."""
-    lab = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    lab = bounded_sample(lab, F.xxhash64("k"), max_labelled)  # so few rows that they may be broadcast
-    sample = docs.select(F.col(key).alias("k"), text_column(text).alias("t")).join(F.broadcast(lab), "k")
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+    """Learn from the labelled rows, at most max_labelled of them: what reaches the driver is bounded by that."""
+    scratch, lb = Scratch(docs.sparkSession), Carried(labels)
+    k, y = F.col(lb.at(key)).cast("long"), F.col(lb.at(label)).cast("int")
+    lab = lb.df.where(k.isNotNull() & y.isNotNull()).groupBy(k.alias("doc_id")).agg(F.max(y).alias("y"))
+    lab = bounded_sample(lab, F.xxhash64("doc_id"), max_labelled)  # so few rows that they may be broadcast
+    sample = keyed(docs, key, text).join(F.broadcast(lab), "doc_id")
     sample = sample.withColumn("h", F.md5("t")).dropDuplicates(["h", "y"])  # copies of a text teach as one
+    sample = scratch.save(sample.select("t", "y"))
 
     def count(batches):
-        for b in batches:
+        for b in by_chars(batches, "t"):
             codes, offs, vocab = words(b.column("t"))
             y = np.array(b.column("y").to_pylist(), dtype=np.int64)
             doc = np.repeat(np.arange(len(y)), np.diff(offs))
@@ -147,57 +151,67 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             if out is not None:
                 yield from out.to_batches()
 
-    counts = sample.select("t", "y").mapInArrow(count, "token string, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = counts.where(F.col("bad") + F.col("good") >= MIN_TEXTS)
+    counts = sample.mapInArrow(count, "token string, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = scratch.save(counts.where(F.col("bad") + F.col("good") >= MIN_TEXTS))
     tot = counts.agg(F.sum("bad"), F.sum("good")).first()
     if not tot[0] or not tot[1]:
+        scratch.drop()
         return ToxicityModel()
     nb, ng = float(tot[0]), float(tot[1])
     a, mass = (F.col("bad") + F.col("good")) * PRIOR_SHARE, PRIOR_SHARE * (nb + ng)
     odds = lambda y, n: F.log((y + a) / (n + mass - y - a))
     delta, sd = odds(F.col("bad"), nb) - odds(F.col("good"), ng), F.sqrt(1 / (F.col("bad") + a + 0.5) + 1 / (F.col("good") + a + 0.5))
-    rows = counts.select("token", delta.alias("d"), sd.alias("sd"), "good").where(F.abs(F.col("d") / F.col("sd")) >= MIN_Z).orderBy(F.desc(F.abs(F.col("d") / F.col("sd"))), "token").limit(max_tokens).collect()
+    rows = counts.select("token", delta.alias("d"), sd.alias("sd"), "good").where(F.abs(F.col("d") / F.col("sd")) >= MIN_Z).collect()  # of a bounded sample
+    rows.sort(key=lambda r: (-abs(r.d / r.sd), r.token))
     model = ToxicityModel({r["token"]: math.copysign(max(abs(r["d"]) - r["sd"], 0.0), r["d"]) for r in rows})
     s = np.array([model.weights[r["token"]] for r in rows] + [0.0]) - DRIFT
     good = np.array([r["good"] for r in rows], dtype=float)
     p = np.concatenate((good + 1e-3, [max(ng - good.sum(), 1.0)])) / (max(ng, good.sum() + 1.0) + 1e-3 * len(rows))
     model.lam = _lambda(p, s)
 
-    weights = model.weights
+    weights, lam = model.weights, model.lam
 
     def maxima(batches):
-        for b in batches:
-            got = [(n, max((x for *_, x in g), default=0.0), [x for *_, x in g]) for n, g in batch_scores(b.column("t"), weights)]
-            n, best, each = (list(x) for x in zip(*got)) if got else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int32()), pa.array(n, pa.int32()), pa.array(best, pa.float64()), pa.array(each, pa.list_(pa.float64()))], names=["y", "n", "best", "each"])
+        """y, number of tokens and best segment of each text."""
+        for b in by_chars(batches, "t"):
+            got = [(n, max((x for *_, x in g), default=0.0)) for n, g in batch_scores(b.column("t"), weights)]
+            n, best = (list(x) for x in zip(*got)) if got else ([], [])
+            yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int32()), pa.array(n, pa.int32()), pa.array(best, pa.float64())], names=["y", "n", "best"])
 
-    got = sample.select("t", "y").mapInArrow(maxima, "y int, n int, best double, each array<double>").collect()  # max_labelled rows at most
-    clean = [r for r in got if r.y == 0 and r.n]
+    clean = [r for r in sample.mapInArrow(maxima, "y int, n int, best double").where("y = 0 and n > 0").collect()]  # max_labelled rows at most
     # Extreme values: over clean texts, lambda * best - ln(n) has mean ln K + 0.5772.
-    model.log_k = max(float(np.mean([model.lam * r.best - math.log(r.n) for r in clean])) - 0.5772, -8.0) if clean else 0.0
-    x = [features(r.n, [(0, 0, v) for v in r.each], model.lam, model.log_k)[:2] for r in got]
-    model.coef = _logistic(np.array(x), np.array([r.y for r in got], dtype=float))
+    log_k = model.log_k = max(math.fsum(lam * r.best - math.log(r.n) for r in clean) / len(clean) - 0.5772, -8.0) if clean else 0.0
+
+    def describe(batches):
+        for b in by_chars(batches, "t"):
+            got = [features(n, g, lam, log_k)[:2] for n, g in batch_scores(b.column("t"), weights)]
+            x, z = (list(v) for v in zip(*got)) if got else ([], [])
+            yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int32()), pa.array(x, pa.float64()), pa.array(z, pa.float64())], names=["y", "x", "z"])
+
+    got = sorted(map(tuple, sample.mapInArrow(describe, "y int, x double, z double").collect()))  # max_labelled rows at most
+    scratch.drop()
+    model.coef = _logistic(np.array([g[1:] for g in got]).reshape(-1, 2), np.array([g[0] for g in got], dtype=float))
     return model
 
 
 def with_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """df with score (0 to 1), predicted (score >= 0.5) and passages (word positions and bit scores)."""
-    kept = [f for f in df.schema.fields if f.name not in OUT.names]
-    df = df.select(*[F.col(f"`{f.name}`") for f in kept])
+    c = Carried(df, *OUT.names)
+    rows, text = c.with_text(text)
     weights, lam, log_k, (c0, c1, c2) = model.weights, model.lam, model.log_k, model.coef
     passage = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("bits", pa.float64())]))
 
     def score(batches):
-        for b in batches:
+        for b in by_chars(batches, text):
             scores, passages = [], []
             for n, segs in batch_scores(b.column(text).cast(pa.string()), weights):
-                best, total, kept_ = features(n, segs, lam, log_k)
+                best, total, kept = features(n, segs, lam, log_k)
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, c0 + c1 * best + c2 * total)))))
-                passages.append([{"first_word": a, "n_words": e - a, "bits": x} for a, e, x in kept_])
+                passages.append([{"first_word": a, "n_words": e - a, "bits": x} for a, e, x in kept])
             s = pa.array(scores, pa.float64())
             cols = [*b.columns, s, pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(passages, passage)]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *OUT.names])
             del cols, scores, passages, s
             trim()
 
-    return df.mapInArrow(score, T.StructType([*kept, *OUT.fields]))
+    return c.back(rows.mapInArrow(score, T.StructType([*rows.schema.fields, *OUT.fields])), *OUT.names)
