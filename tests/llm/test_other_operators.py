@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -16,11 +17,24 @@ def test_cascade_is_exact_over_its_universe(spark):
     keys = [f"host{i}.example.org" for i in range(3000)]
     listed = set(rng.sample(keys, 150)) | {"not.in.the.corpus"}
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
-    cascade = url_filter.build_cascade(universe, spark.createDataFrame([(k,) for k in listed], "key string"))
+    given = spark.createDataFrame([(k,) for k in listed], "key string")
+    (cascade,) = url_filter.build_cascades(universe, given, cm.Scratch(spark))
     got = {r.key for r in universe.where(cascade.contains(F.col("key"))).collect()}
     assert got == listed & set(keys) and len(cascade.levels) > 1
     assert sum(level.bits for level in cascade.levels) < 3000 * 8
-    assert url_filter.build_cascade(universe, universe, max_bits=64) is None
+    parts = url_filter.build_cascades(universe, given, cm.Scratch(spark), max_bits=1000)
+    n = len(parts)
+    got = {r.key for i, part in enumerate(parts) for r in universe.where(url_filter.range_of(F.col("key"), n) == i).where(part.contains(F.col("key"))).collect()}
+    assert n > 1 and got == listed & set(keys)
+
+
+def test_urls_without_host_are_allowed_whatever_the_list(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "http:///path"), (5, "http://a.x/"), (6, "http://b.x./")], "page_id long, URL string")
+    for n in range(12):
+        for bits in (url_filter.MAX_BITS, 300):
+            listed = [f"h{n}{i}.x" for i in range(n)] + ["a.x", ""]
+            got = {r.page_id: r.verdict for r in url_filter.judge(df, listed, [], max_bits=bits).collect()} if n < 3 or bits > 300 else None
+            assert got is None or got == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "allow"}
 
 
 def test_judging(spark):
@@ -32,8 +46,9 @@ def test_judging(spark):
         ("http://bad.io/", "bad.io", "/", None, "block"), ("http://bad.io/", "bad.io", "/", None, "block"), ("http://b.org/fr/://", "b.org", "/fr/://", "org/fr/", "allow"),
     ]
     df = spark.createDataFrame([(i, u[0], "clash", "clash", True) for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string, listed boolean")
-    for bits in (url_filter.MAX_BITS, 1):  # the cascade, and the join beyond its limit
-        got = sorted(url_filter.judge(df, ["BAD.io", "other.io"], rules, max_bits=bits).select("page_id", "host", "path", "rule", "verdict").collect())
+    as_frame = spark.createDataFrame([("BAD.io", 1), ("other.io", 2), (None, 3)], "`a.b` string, n int")
+    for bits, listed in ((url_filter.MAX_BITS, ["BAD.io", "other.io"]), (300, ["BAD.io", "other.io"]), (url_filter.MAX_BITS, as_frame)):  # one cascade, ranges of keys
+        got = sorted(url_filter.judge(df, listed, rules, max_bits=bits).select("page_id", "host", "path", "rule", "verdict").collect())
         assert [tuple(r)[1:] for r in got] == [u[1:] for u in urls]
     assert url_filter.judge(df.limit(0), ["bad.io"], rules).count() == 0
     assert url_filter.judge(df, [], rules).where("verdict = 'block'").count() == 2
@@ -59,6 +74,48 @@ def test_main_text(spark):
     assert html_text.main_text("<p>" * 3000 + "deep", html_text.PageModel()) == ("deep" if html_text.PageModel().of_tag("p") * 3000 < 0 else "")
 
 
+def test_best_region_like_its_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        x = rng.integers(-4, 4, rng.integers(0, 14)).tolist()
+        every = [(sum(x[a:b]), a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1)]
+        first, end = html_text.best_region(x)
+        best = max((s for s, *_ in every), default=0)
+        assert sum(x[first:end]) == max(best, 0) and (first, end) == ((0, 0) if best <= 0 else (first, end))
+        assert best <= 0 or end == min(b for s, a, b in every if s == best)
+
+
+def test_main_text_is_the_best_region_of_its_tokens(spark):
+    model = html_text.fit(spark.createDataFrame([(PAGE,)], "html string"))
+    for page in (PAGE, PAGE.replace("article", "div"), "<p>a b<nav>c</nav><p>d"):
+        tokens = html_text.parse(page)
+        scores = html_text.token_scores(tokens, model)
+        sums = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1)}
+        first, end = html_text.best_region(scores)
+        assert sums[first, end] == pytest.approx(max(sums.values()))
+        inside = " ".join(v for k, _, v, _, never in tokens[first:end] if k == "text" and not never).split()
+        assert html_text.main_text(page, model).split() == inside
+
+
+def test_marks_say_nothing_of_most_of_a_page():
+    model = html_text.PageModel()
+    words = " ".join(f"word{i}" for i in range(60))
+    for page in (f'<div class="shared notice related"><p>{words}</p></div>', f'<nav>menu</nav><article class="widget"><p>{words}</p></article><p>other words here</p>', f'<div id="share"><main><p>{words}</p></main></div>'):
+        assert html_text.main_text(page, model).startswith(words)
+    assert html_text.main_text(f'<p>{words}</p><div class="share"><p>tell your friends</p></div>', model) == words
+
+
+def test_stray_end_tags_take_time_in_proportion():
+    began = time.time()
+    assert html_text.main_text("<div>" * 40_000 + "</b>" * 40_000 + "x", html_text.PageModel()) in ("", "x")
+    assert time.time() - began < 5
+
+
+def test_html_with_clashing_columns(spark):
+    got = html_text.extract(spark.createDataFrame([(1, PAGE, "a", 2, "b")], "page_id long, html string, Text string, N_CHARS int, `a.b` string"), html_text.PageModel())
+    assert got.columns == ["page_id", "a.b", "text", "n_chars"] and got.first()["a.b"] == "b"
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
@@ -77,21 +134,102 @@ def test_margins_are_met(spark):
     share = (got.n_tokens * got.weight).groupby(got.source.fillna("\0")).sum() / (got.n_tokens * got.weight).sum()
     assert share["a"] == pytest.approx(0.5, abs=1e-6) and share["b"] == pytest.approx(0.3, abs=1e-6)
     assert (got.n_tokens * got.probability).sum() == pytest.approx(0.5 * got.n_tokens.sum())
+    expected = (got.n_tokens * got.probability).groupby(got.source.fillna("\0")).sum() / (got.n_tokens * got.probability).sum()
+    assert expected["a"] == pytest.approx(0.5, abs=1e-6) and expected["b"] == pytest.approx(0.3, abs=1e-6)
     again = mixing.mix(d.repartition(5), 0.5, 0.5, targets).toPandas()
     key = ["doc_id", "source", "n_tokens", "selected"]
     assert sorted(map(str, got[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
     assert 0.35 < got.n_tokens[got.selected].sum() / got.n_tokens.sum() < 0.65
 
 
+def brute_shares(got, column):
+    p = got.n_tokens * got.probability
+    names = ["\0" if v is None or v != v else str(v) for v in got[column].tolist()]
+    return {n: p[[x == n for x in names]].sum() / p.sum() for n in set(names)}
+
+
+def test_expected_shares_are_those_reported(spark):
+    d = docs(spark)
+    for budget, targets in ((0.4, None), (0.9, {"source": {"a": 0.1, "b": 0.6, "\0": 0.3}, "lang": {"en": 0.9, "de": 0.05, "\0": 0.05}})):
+        out, report = mixing.mix_with_report(d, budget, 0.5, targets)
+        got, lines = out.toPandas(), report.collect()
+        for r in lines:
+            assert brute_shares(got, r.margin).get(r.value, 0.0) == pytest.approx(r.expected, abs=1e-9)
+            assert r.reached == (abs(r.asked - r.expected) <= 1e-3) and r.target <= r.asked + 1e-9 or r.target > r.asked
+        for r in lines:  # no value is asked for more than it has
+            if r.margin == "source":
+                own = got.n_tokens[[("\0" if x is None or x != x else x) == r.value for x in got.source.tolist()]].sum()
+                assert r.target * budget * got.n_tokens.sum() <= own + 1e-6
+        if targets is None:
+            assert all(r.expected == pytest.approx(r.target, abs=1e-6) for r in lines)
+        else:
+            assert not all(r.reached for r in lines)
+
+
+def test_reachable_by_definition():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        own, share = rng.uniform(0, 9, 6), rng.uniform(0, 1, 6) * (rng.uniform(0, 1, 6) < 0.8)
+        if share.sum() == 0:
+            continue
+        share /= share.sum()
+        budget = rng.uniform(0, 1) * own.sum()
+        got = mixing.reachable(own, share, budget)
+        assert got.sum() == pytest.approx(budget) and (got <= own + 1e-9).all()
+        left = (share > 0) & (got < own - 1e-9)
+        if left.any():  # those that aren't all taken share the rest in proportion
+            assert np.ptp(got[left] / share[left]) < 1e-9 and (got[share > 0] <= (got[left] / share[left]).max() * share[share > 0] + 1e-9).all()
+
+
+def test_raking_by_brute_force():
+    rng = np.random.default_rng(4)
+    tokens = rng.uniform(1, 9, 24)
+    values = [[str(i % 2) for i in range(24)], [str(i // 2 % 3) for i in range(24)], [str(i // 6) for i in range(24)]]
+    targets = [{"0": 0.35, "1": 0.65}, None, None]
+    p, report = mixing.rake(values, tokens, targets, 0.9, 0.6)
+    assert (p >= 0).all() and (p <= 1).all() and (p * tokens).sum() == pytest.approx(0.6 * tokens.sum())
+    for margin, value, asked, target, expected in report:
+        v = values[mixing.MARGINS.index(margin)]
+        assert sum(x * t for x, t, y in zip(p, tokens, v) if y == value) / (0.6 * tokens.sum()) == pytest.approx(expected)
+        assert expected == pytest.approx(target, abs=1e-7) and target == pytest.approx(asked, abs=1e-7)
+    # uncapped cells are products of one factor a value: the raked solution, not another with the same margins
+    x = np.log(p[p < 1])
+    design = np.array([[v == name for v, names in zip((values[0][i], values[1][i], values[2][i]), ("01", "012", "0123")) for name in names] for i in np.flatnonzero(p < 1)], float)
+    fit = design @ np.linalg.lstsq(design, x, rcond=None)[0]
+    assert np.abs(fit - x).max() < 1e-6
+
+
 def test_raking_as_a_frame_agrees(spark):
-    d = docs(spark).withColumn("topic", F.col("doc_id") % 3)
-    a, b = (mixing.mix(d, 0.6, 0.5, topic="topic", max_cells=m).select("doc_id", "n_tokens", "probability").where("doc_id is not null and n_tokens > 0").orderBy("doc_id", "n_tokens").toPandas() for m in (1000, 1))
-    assert np.allclose(a.probability, b.probability, atol=2e-3)
+    rng = np.random.default_rng(6)
+    rows = [(s, x, t, float(rng.integers(0, 50))) for s in "abc" for x in "xy" for t in "uv"]
+    cells = spark.createDataFrame(rows, "s string, l string, t string, tokens double")
+    for targets, budget in (([{"a": 0.2, "b": 0.5, "c": 0.3}, None, None], 0.5), ([None, {"x": 0.9}, None], 0.8)):
+        scratch = cm.Scratch(spark)
+        out, report = mixing.rake_frame(scratch.save(cells), ["s", "l", "t"], targets, 0.5, budget, scratch)
+        p, lines = mixing.rake([[r[j] for r in rows] for j in range(3)], np.array([r[3] for r in rows]), targets, 0.5, budget)
+        got = {r[:3]: r.probability for r in out.select("s", "l", "t", "probability").collect()}
+        assert all(got[r[:3]] == pytest.approx(a, abs=1e-6) for r, a in zip(rows, p))
+        assert sorted((r[0], r[1]) + tuple(round(x, 5) for x in r[2:5]) for r in report.collect()) == sorted((r[0], r[1]) + tuple(round(x, 5) for x in r[2:]) for r in lines)
+
+
+def test_mixing_over_many_cells(spark):
+    d = docs(spark, 120).withColumn("topic", F.col("doc_id") % 3)
+    a, b = (mixing.mix(d, 0.5, 0.8, topic="topic", max_cells=m) for m in (1000, 1))
+    assert a.columns == b.columns
+    one, two = (sorted(map(str, x.select("doc_id", "n_tokens", F.round("probability", 6).alias("p"), "selected").collect())) for x in (a, b))
+    assert one == two
 
 
 def test_mixing_without_rows(spark):
     assert mixing.mix(docs(spark).limit(0), 0.5).count() == 0
-    assert mixing.factor(np.array([1.0, 2.0]), np.array([10.0, 10.0]), 0.75) == pytest.approx(0.5)
+    assert mixing.mix(docs(spark), 0.0).where("selected").count() == 0
+    assert mixing.mix(docs(spark), 1.0).where("not selected").count() == 0
+    with pytest.raises(ValueError, match="no column words"):
+        mixing.mix(docs(spark), 0.5, text="words")
+    clash = docs(spark, 40).withColumnRenamed("weight", "Weight").withColumn("a.b", F.lit(1)).withColumn("_c0", F.lit("x")).withColumn("t", F.lit("y"))
+    got = mixing.mix(clash, 0.5)
+    assert got.columns == ["doc_id", "text", "lang", "source", "a.b", "_c0", "t", "n_tokens", "topic", "weight", "probability", "selected"]
+    assert {(r["a.b"], r["_c0"], r["t"]) for r in got.collect()} == {(1, "x", "y")}
 
 
 # --- neighbours ----------------------------------------------------------------------------------
@@ -126,30 +264,47 @@ def test_neighbours_with_repeated_ids(spark):
     x = rng.normal(size=(400, 8))
     ids = np.concatenate((np.repeat(np.arange(100), 3), np.full(60, 7), 40 + np.arange(40) % 4))  # 7 and 40 to 43 often
     x[300:360] = x[0] * 3 + 0.01 * x[300:360]  # near a query
-    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x[381:] = x[380]  # equal rows: ids 40 to 43
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    want = []
+    for j in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[j]).sum(1)
+        near = [i for i in np.lexsort((ids, -s)) if i != j][:20]  # every row but the query's own
+        want += [(int(ids[j]), n, int(ids[i]), round(float(s[i]), 9)) for n, i in enumerate(near, 1)]
     for shard in (8192, 150):
-        by = {}
-        for r in hash_forest.search(df, lambda k: k % 20 == 0, 20, share=1e9, shard=shard).collect():
-            by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-        for q in range(0, 100, 20):
-            s = np.full(100, -np.inf)
-            for v in x[ids == q]:
-                np.maximum.at(s, ids, (x * v).sum(1))
-            s[q] = -np.inf
-            want = np.lexsort((np.arange(100), -s))[:20].tolist()
-            assert [(n, v) for n, v, _ in sorted(by[q])] == list(enumerate(want, 1))
+        got = hash_forest.search(df, lambda k: k % 20 == 0, 20, share=1e9, shard=shard).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
     few = hash_forest.search(df, lambda k: k % 20 == 0, 20, share=0.0).groupBy("query_id").count().collect()
-    assert {r.query_id: r["count"] for r in few} == dict.fromkeys(range(0, 100, 20), 20)
+    assert {r.query_id: r["count"] for r in few} == {q: 20 * int((ids == q).sum()) for q in range(0, 100, 20)}
 
 
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, hash_forest.search(df, lambda k: k % 20 == 0).collect()))
-    assert got == [(0, 1, 20, 1.0), (0, 2, 1, 0.0), (20, 1, 0, 1.0), (20, 2, 1, 1.0)]
+    assert got == sorted([(0, 1, 20, 1.0), (0, 2, 20, 1.0), (0, 3, 1, 0.0)] + 2 * [(20, 1, 20, 2.0), (20, 2, 0, 1.0), (20, 3, 1, 1.0)])
     assert hash_forest.search(df.limit(0), lambda k: k % 20 == 0).count() == 0
 
 
+def test_vectors_of_each_length_are_an_index_of_their_own(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [2.0]), (20, [3.0]), (40, [1.0, 1.0, 1.0])], "Vec_ID long, embedding array<double>")
+    got = sorted(map(tuple, hash_forest.search(df, lambda k: k % 20 == 0).collect()))
+    assert got == [(0, 1, 1, 0.5), (20, 1, 2, 6.0)]
+
+
+def test_recall_on_the_given_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = e.select("vec_id", "embedding").toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), dtype=float)
+    got = hash_forest.search(e, lambda k: k % 20 == 0).toPandas().groupby("query_id").vec_id.apply(set)
+    hit = n = 0
+    for j in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[j]).sum(1)
+        s[j] = -np.inf
+        want = ids[np.lexsort((ids, -s))[:20]]
+        hit, n = hit + len(got[ids[j]] & set(want.tolist())), n + 20
+    assert hit >= 0.9 * n
+
+
 # --- toxicity ------------------------------------------------------------------------------------
 
 
@@ -194,6 +349,10 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(empty) == 2 and all(not r.passages and r.predicted == 0 for r in empty)
     assert [r.predicted for r in got if r.doc_id is None] == [1]
     assert toxicity.with_toxicity(docs_.limit(0), model).count() == 0
+    clash = docs_.withColumnRenamed("score", "Score").withColumn("a.b", F.lit(1)).withColumn("Passages", F.lit(2))
+    again = toxicity.with_toxicity(clash, model)
+    assert again.columns == ["doc_id", "text", "a.b", "score", "predicted", "passages"]
+    assert sorted(r.score for r in again.collect()) == sorted(r.score for r in got)
     none = toxicity.fit(docs_, lab.limit(0))
     assert {r.predicted for r in toxicity.with_toxicity(docs_, none).collect()} == {0}
 
@@ -208,12 +367,40 @@ def test_components(spark):
     assert cc.connected_components(spark.createDataFrame([], "a long, b long"), cm.Scratch(spark)).count() == 0
 
 
-def test_many_cells_are_raked_until_margins_are_met(spark):
-    rows = [("a", "x", "t", 1e6), ("a", "y", "t", 1.0), ("b", "x", "t", 1.0), ("b", "y", "t", 1e6)]
-    targets = [{"a": 0.5, "b": 0.5}, {"x": 0.35, "y": 0.65}, None]
-    cells = spark.createDataFrame(rows, "s string, l string, t string, tokens double")
-    got = {r[:2]: r.weight for r in mixing.rake_frame(cells, ["s", "l", "t"], targets, 0.5, 0.5, mixing.Scratch(spark)).collect()}
-    total = sum(r[3] for r in rows)
-    for j, target in enumerate(targets[:2]):
-        for value, share in target.items():
-            assert abs(sum(got[r[:2]] * r[3] for r in rows if r[j] == value) / total - share) < 1e-8
+def test_lookup_deals_the_rows_of_hot_keys(spark):
+    scratch = cm.Scratch(spark)
+    rows = spark.range(12_000).select(F.when(F.col("id") < 10_000, 1).when(F.col("id") < 11_000, F.col("id")).alias("k"), F.col("id").alias("x"))
+    right = spark.createDataFrame([(1, "one"), (10_500, "other")], "k long, y string")
+    saved = scratch.save(rows)
+    out = cm.lookup(saved, right, "k")
+    assert sorted(map(tuple, out.select("k", "x", "y").collect()), key=str) == sorted(map(tuple, rows.join(right, "k", "left").select("k", "x", "y").collect()), key=str)
+    assert cm.lookup(saved, right, "k", "inner").count() == 10_001
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "200"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        sizes = [r.n for r in cm.lookup(saved, right, "k").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sizes) < 4_500  # five parts of the hot key's 10,000, of which two may meet
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(Conf)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        cm.shared_dir(Session)
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="checkpoint"):
+        cm.shared_dir(Session)

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from granary.llm import decontaminate, mixing, toxicity
 from granary.llm.queries import MIX_BUDGET, MIX_POWER, ORACLE, QUERIES
@@ -47,6 +49,30 @@ def test_stages(spark, tmp_path):
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
 
 
+CLASHES = {"score": "mine", "Predicted": "p", "hits": 7, "weight": "w", "topic": "x", "n_tokens": "y", "a.b": 1, "__h": "h", "t": "t", "th": "th", "_c0": "c", "block": "b", "key": "k"}
+
+
+def test_clashing_columns_come_through(spark, tmp_path):
+    d = make(spark, str(tmp_path / "t"))
+    plain = spark.read.parquet(f"{d}/documents.parquet")
+    docs = plain.withColumns({c: F.lit(v) for c, v in CLASHES.items()})
+    for _, stage in cp.STAGES[:-1]:
+        want = sorted(r.doc_id or -1 for r in stage(spark, plain, d).collect())
+        out = stage(spark, docs, d)
+        assert out.schema == docs.schema or [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        rows = out.collect()
+        assert sorted(r.doc_id or -1 for r in rows) == want
+        assert {tuple(r[c] for c in CLASHES) for r in rows} == {tuple(CLASHES.values())}
+
+
+def test_near_duplicates_without_keys(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (4, text.replace("w3 ", "x ")), (4, text.replace("w3 ", "x ")), (None, "other words"), (None, ""), (None, None), (9, " "), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    got = cp.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(4, rows[2][1]), (0, "other words"), (0, ""), (0, ""), (9, " "), (9, " ")])
+
+
 def test_run_is_its_stages(spark, tmp_path):
     d = make(spark, str(tmp_path / "t"))
     assert cp.run(spark, d).count() > 100
