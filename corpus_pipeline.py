@@ -1,7 +1,7 @@
 """From raw documents to token ids: the stages of a training corpus, each a function of (spark, docs, sf_dir).
 
 Every stage works on all rows that the one before kept, and its decisions take effect. All but the last return the
-columns of docs as they came. A null text is an empty one; rows with a null doc_id pass the near-duplicate stage.
+columns of docs as they came, whatever their names. A null text is an empty one; rows with a null doc_id take part.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, id_store, mixing, ngram_join, toxicity
-from granary.llm.common import Scratch, remainder, table
+from granary.llm.common import Carried, Scratch, remainder, table, text_column
 from granary.llm.queries import END_ID, MIX_BUDGET, MIX_POWER, tokenizer_path
 
 #: SQL can't express these stages; tests hold them against brute force.
@@ -20,25 +20,35 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labelled rows with a remainder other than 0."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
-    return toxicity.with_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    c = Carried(docs)
+    return c.back(toxicity.with_toxicity(c.df, model, c.at("text")).where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of linked documents stays; of equal rows, one."""
+    """Of each group of linked documents the one with the smallest doc_id stays (null ones come last), of equal rows
+    one. Documents without words are linked with nothing, and all stay."""
     groups = ngram_join.components(docs)
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    named = lambda key: F.coalesce(key.cast("long").cast("string"), F.lit(""))
+    first = groups.where("is_first and n_shingles > 0").select(named(F.col("doc_id")).alias("id"), F.col("text_hash").alias("th")).distinct()
+    c = Carried(docs)
+    text = text_column(c.at("text"))
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    rows = c.df.where(has_words).withColumn("id", named(F.col(c.at("doc_id")))).withColumn("th", F.xxhash64(text))
+    kept = rows.join(first, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    return c.back(kept).union(c.back(c.df.where(~has_words)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to its error budget, go."""
-    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+    c = Carried(docs)
+    return c.back(decontaminate.with_hits(c.df, table(spark, sf_dir, "benchmark"), c.at("text")).where(F.size("hits") == 0))
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by probabilities that fit the margins' target shares."""
-    return mixing.mix(docs, MIX_BUDGET, MIX_POWER).where("selected").select(*docs.columns)
+    c = Carried(docs)
+    columns = {name: c.at(of) for name, of in (("key", "doc_id"), ("text", "text"), ("source", "source"), ("lang", "lang"))}
+    return c.back(mixing.mix(c.df, MIX_BUDGET, MIX_POWER, **columns).where("selected"))
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
