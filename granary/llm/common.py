@@ -120,7 +120,7 @@ class Carried:
 
 
 #: Rows of one key that a join leaves to one task, and keys beyond it at most: of n rows, fewer than n / most can be.
-ROWS_OF_KEY, HEAVY_KEYS = 2_000, 10_000
+ROWS_OF_KEY, HEAVY_KEYS = 500, 10_000
 
 
 def lookups(rows: DataFrame, joins: list[tuple[str, DataFrame]], how: str = "left", most: int = ROWS_OF_KEY, counts: DataFrame | None = None) -> DataFrame:
