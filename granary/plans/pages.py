@@ -92,7 +92,7 @@ def all_caps(spark, d):
 
 QUERIES = {f.__name__: f for f in (cell_split, row_group, center_cluster, nearest_column, band_words, stream_tables, header_rows, table_records, page_text_blocks, heading_path_by_line, heading_stack, all_caps)}
 _W = "w AS (SELECT event_id, event_id % 50 AS page, event_id // 50 % 40 AS band, (event_id * 37 % 500)::DOUBLE AS x0, (event_id * 37 % 500)::DOUBLE + 20 AS x1, event_type AS text FROM events)"
-_CL = "ch AS (SELECT page, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) > 40 THEN 1 ELSE 0 END AS nw FROM w WHERE event_id % 11 = 0), k AS (SELECT page, x0, sum(nw) OVER (PARTITION BY page ORDER BY x0 RANGE UNBOUNDED PRECEDING)::INTEGER AS \"column\" FROM ch), cc AS (SELECT page, \"column\", avg(x0) AS mid FROM k GROUP BY ALL)"
+_CL = "ch AS (SELECT page, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) > 40 THEN 1 ELSE 0 END AS nw FROM w), k AS (SELECT page, x0, sum(nw) OVER (PARTITION BY page ORDER BY x0 RANGE UNBOUNDED PRECEDING)::INTEGER AS \"column\" FROM ch), cc AS (SELECT page, \"column\", avg(x0) AS mid FROM k GROUP BY ALL)"
 _L = """l AS (SELECT o_custkey, o_orderkey, (o_orderkey % 4 + 1)::INTEGER AS depth, o_orderkey % 7 <> 0 AS head, array_to_string([o_orderkey % 5 + 1, o_orderkey % 6 + 1, o_orderkey % 7 + 1, o_orderkey % 8 + 1][1:(o_orderkey % 4 + 1)::INTEGER], '.') || ' Terms' AS t FROM orders)"""
 ORACLE = {
     "cell_split": f"""WITH {_W}, g AS (SELECT *, sum(nw) OVER (PARTITION BY page, band ORDER BY x0, event_id) AS cell FROM (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page, band ORDER BY x0, event_id) > 15 THEN 1 ELSE 0 END AS nw FROM w))
@@ -101,6 +101,13 @@ SELECT page, band, cell::INTEGER AS cell, (first(x0 ORDER BY x0, event_id) + las
 SELECT page, r, sum(nw) OVER (PARTITION BY page ORDER BY top, r)::INTEGER AS "table" FROM (SELECT *, CASE WHEN top - lag(bottom) OVER (PARTITION BY page ORDER BY top, r) > 48 THEN 1 ELSE 0 END AS nw FROM r)""",
     "center_cluster": f'WITH {_W}, {_CL} SELECT page, "column", round(mid, 6) AS "at" FROM cc',
     "nearest_column": f'WITH {_W}, {_CL} SELECT event_id, "column" FROM (SELECT event_id, "column", row_number() OVER (PARTITION BY event_id ORDER BY abs(mid - x0), "column") AS n FROM w JOIN cc USING (page)) WHERE n = 1',
+    # a band's first word is the highest that is more than 6 below the first word of the band above
+    "band_words": """WITH RECURSIVE w AS (SELECT event_id, event_id // 400 AS page, (event_id * 7 % 97)::DOUBLE AS top FROM events),
+a AS (SELECT page, min(top) AS top, 0 AS band FROM w GROUP BY page UNION ALL SELECT page, min(low) AS top, min(band) + 1 AS band FROM (SELECT a.page, a.band, w.top AS low FROM a JOIN w ON w.page = a.page AND w.top > a.top + 6) GROUP BY page)
+SELECT event_id, max(band)::INTEGER AS band FROM w JOIN a ON a.page = w.page AND a.top <= w.top GROUP BY event_id""",
+    # rows of a page are too near to each other to be two tables
+    "stream_tables": """WITH r AS (SELECT event_id // 120 AS page, event_id // 3 % 40 AS r, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 2)
+SELECT page, 0 AS "table", count(*)::INTEGER AS n_rows, max(n)::INTEGER AS n_columns FROM r GROUP BY page HAVING count(*) >= 2""",
     "header_rows": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN false ELSE false END ELSE CASE WHEN o_orderkey % 3 = 0 THEN true ELSE false END END AS is_header FROM orders",
     "table_records": """SELECT n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN 'Key,Key_1,col_2' ELSE 'col_0,col_1' END AS headers, string_agg(n_nationkey || '/' || n_name || CASE WHEN n_regionkey % 2 = 0 THEN '/' ELSE '' END, ',' ORDER BY n_nationkey) AS rows FROM nation GROUP BY n_regionkey""",
     "page_text_blocks": """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS pos, CASE WHEN len(string_split(p, chr(10))) >= 3 THEN 'text' ELSE 'note' END AS kind, p AS text
