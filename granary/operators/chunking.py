@@ -36,45 +36,58 @@ def window_chunks(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVE
 
 def blocks(text: Column) -> Column:
     """Headings, upper-case lines, bullets and speaker lines by themselves; other lines joined up to the next break."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    alone = lambda line: line.rlike(HEADING) | tx.is_upper(line) | line.rlike(BULLET) | line.rlike(SPEAKER)
+    kind = lambda line: F.when(tx.is_blank(line), 0).when(alone(line), 1).otherwise(2)
+    lines = F.transform(F.transform(tx.lines(F.coalesce(text, F.lit(""))), tx.rstrip), lambda line: F.struct(kind(line).alias("k"), tx.strip(line).alias("t")))
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
+    def cut(found: Column) -> Column:
+        n = F.size(found)
+        # a block begins at each line that stands alone, and at prose that follows no prose
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(found, i)["k"] == 1) | ((F.get(found, i)["k"] == 2) & (F.coalesce(F.get(found, i - 1)["k"], F.lit(0)) != 2)))
+        part = lambda a, b: F.transform(F.filter(F.slice(found, a + 1, b - a), lambda x: x["k"] != 0), lambda x: x["t"])
+        return tx.bind(first, lambda at: F.transform(at, lambda i, j: F.array_join(part(i, F.coalesce(F.get(at, j + 1), n)), " ")))
 
-    def step(acc: Column, line: Column) -> Column:
-        alone = line.rlike(HEADING) | tx.is_upper(line) | line.rlike(BULLET) | line.rlike(SPEAKER)
-        stripped = tx.strip(line)
-        return (
-            F.when(tx.is_blank(line), F.struct(closed(acc).alias("done"), F.lit("").alias("open")))
-            .when(alone, F.struct(F.array_append(closed(acc), stripped).alias("done"), F.lit("").alias("open")))
-            .otherwise(F.struct(acc["done"].alias("done"), F.when(acc["open"] == "", stripped).otherwise(F.concat(acc["open"], F.lit(" "), stripped)).alias("open")))
-        )
-
-    return F.aggregate(F.transform(tx.lines(F.coalesce(text, F.lit(""))), tx.rstrip), empty, step, closed)
+    return tx.bind(lines, cut)
 
 
 def pack_blocks(found: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, similarity: Column | None = None, threshold: float = 0.75) -> Column:
     """Blocks packed greedily into chunks; a new chunk begins with the last overlap words of the one before. A block
-    is never split. similarity: for each block its similarity to the one before; below threshold a new chunk begins."""
-    items = F.transform(found, lambda b, i: F.struct(b.alias("b"), tx.token_count(b).alias("n"), (F.lit(1.0) if similarity is None else F.coalesce(F.get(similarity, i), F.lit(1.0))).alias("s")))
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n"))
+    is never split. similarity: for each block its similarity to the one before; below threshold a new chunk begins.
+
+    Only numbers are folded: which blocks a chunk has and how many words it carries over, which are the last before its
+    blocks among all words. The text is cut out once at the end."""
+    items = F.transform(found, lambda b, i: F.struct(tx.words(b).alias("w"), (F.lit(1.0) if similarity is None else F.coalesce(F.get(similarity, i), F.lit(1.0))).alias("s")))
+
+    def packed(bound: Column) -> Column:
+        sizes = F.transform(bound, lambda x: F.struct(F.size(x["w"]).alias("n"), x["s"].alias("s")))
+        chunk = "struct<at:int,word:int,carry:int>"  # first block, first word of it, words carried over
+        empty = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("word"))
+
+        def step(acc: Column, x: Column) -> Column:
+            carry = F.least(acc["n"], F.lit(overlap))
+            new = (F.size(acc["done"]) == 0) | (x["s"] < threshold) | (acc["n"] + x["n"] > max_tokens)
+            carried = F.when(F.size(acc["done"]) == 0, F.lit(0)).otherwise(carry)
+            done = F.when(new, F.array_append(acc["done"], F.struct(acc["at"].alias("at"), acc["word"].alias("word"), carried.alias("carry")))).otherwise(acc["done"])
+            return F.struct(done.alias("done"), F.when(new, carried + x["n"]).otherwise(acc["n"] + x["n"]).alias("n"), (acc["at"] + 1).alias("at"), (acc["word"] + x["n"]).alias("word"))
+
+        cuts = F.aggregate(sizes, empty, step, lambda acc: acc["done"])
+        words = F.flatten(F.transform(bound, lambda x: x["w"]))
+
+        def text(at: Column, all_words: Column) -> Column:
+            def one(c: Column, j: Column) -> Column:
+                body = F.slice(found, c["at"] + 1, F.coalesce(F.get(at, j + 1)["at"], F.size(found)) - c["at"])
+                tail = F.slice(all_words, c["word"] - c["carry"] + 1, c["carry"])
+                return F.array_join(F.concat(tail, body), " ")
+
+            return F.transform(at, one)
 
-    def step(acc: Column, x: Column) -> Column:
-        w = tx.words(acc["open"])
-        tail = F.array_join(F.slice(w, F.greatest(F.size(w) - overlap + 1, F.lit(1)), F.lit(max(overlap, 1))), " ") if overlap else F.lit("")
-        carried = F.when(tail == "", x["b"]).otherwise(F.concat(tail, F.lit(" "), x["b"]))
-        full = (x["s"] < threshold) | (acc["n"] + x["n"] > max_tokens)
-        return (
-            F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), x["b"].alias("open"), x["n"].alias("n")))
-            .when(full, F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), carried.alias("open"), (F.least(F.size(w), F.lit(overlap)) + x["n"]).alias("n")))
-            .otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit(" "), x["b"]).alias("open"), (acc["n"] + x["n"]).alias("n")))
-        )
+        return tx.bind(words, lambda all_words: tx.bind(cuts, lambda at: text(at, all_words)))
 
-    return F.aggregate(items, empty, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return tx.bind(items, packed)
 
 
 def structured_chunks(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
-    return pack_blocks(blocks(text), max_tokens, overlap)
+    return tx.bind(blocks(text), lambda found: pack_blocks(found, max_tokens, overlap))
 
 
 def prose_chunks(text: Column, headings: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
