@@ -8,8 +8,8 @@ from granary.operators import grounding as g
 
 from .common import table
 
-_SIMPLE = [(e, k) for k, variants in g.SIMPLE for e in dict.fromkeys(variants)]
-_DAYS = [(f"{w} {d}", kind, i, 0.95) for kind, mods in g.MODIFIERS for w in mods for i, days in enumerate(g.WEEKDAYS) for d in days] + [(d, "bare", i, 0.8) for i, days in enumerate(g.WEEKDAYS) for d in days]
+_SIMPLE = [(e, unit, step) for (unit, step), spellings in g.PERIODS.items() for e in spellings]
+_DAYS = [(f"{w} {d}", step, i, 0.95) for w, step in g.WHICH.items() for d, i in g.DAYS.items()] + [(d, None, i, 0.8) for d, i in g.DAYS.items()]
 
 
 def _pick(values: list[str], at):
@@ -21,7 +21,7 @@ def _orders(spark, d):
 
 
 def ground_simple(spark, d):
-    o = _orders(spark, d).withColumn("text", F.concat(F.lit("Report of "), _pick([e for e, _ in _SIMPLE], F.col("o_orderkey")), F.lit(", as agreed.")))
+    o = _orders(spark, d).withColumn("text", F.concat(F.lit("Report of "), _pick([e for e, *_ in _SIMPLE], F.col("o_orderkey")), F.lit(", as agreed.")))
     return g.ground(o, "text", "ref", "personal").select("o_orderkey", "grounded", F.get("groundings", F.lit(0))["resolved"].alias("resolved"), F.get("groundings", F.lit(0))["confidence"].alias("confidence"), F.size("groundings").alias("n"))
 
 
@@ -70,26 +70,25 @@ def conversations_ground(spark, d):
 
 
 def temporal_lexicon(spark, d):
-    return spark.createDataFrame(g.lexicon(), "expression string, meaning string, confidence double").groupBy("meaning").agg(F.count("*").alias("n"), F.max(F.length("expression")).alias("longest"), F.min("confidence").alias("confidence"))
+    rows = [(e, *m) for e, m in g.meanings().items()]
+    return spark.createDataFrame(rows, f"expression string, {g.MEANING}").groupBy("unit", "step", "weekday").agg(F.count("*").alias("n"), F.max(F.length("expression")).alias("longest"), F.min("confidence").alias("confidence"))
 
 
 QUERIES = {f.__name__: f for f in (ground_simple, ground_weekday, ground_personal, ground_auto, iso_event_at, topics_update, memory_ground, conversations_ground, temporal_lexicon)}
 
-_V = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in (i, *r)) + ")" for i, r in enumerate(rows))
+_V = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else "NULL" if x is None else str(x) for x in (i, *r)) + ")" for i, r in enumerate(rows))
 _O = "SELECT o_orderkey, o_custkey, o_orderdate AS ref, o_orderdate::DATE AS day, (isodow(o_orderdate) - 1)::INTEGER AS wd FROM orders"
-_SIMPLE_DATE = """CASE k WHEN 'now' THEN ref WHEN 'today' THEN day WHEN 'yesterday' THEN day - 1 WHEN 'tomorrow' THEN day + 1
- WHEN 'this_week' THEN date_trunc('week', ref) WHEN 'last_week' THEN date_trunc('week', ref) - INTERVAL 7 DAY WHEN 'next_week' THEN date_trunc('week', ref) + INTERVAL 7 DAY
- WHEN 'this_month' THEN date_trunc('month', ref) WHEN 'last_month' THEN date_trunc('month', ref) - INTERVAL 1 MONTH WHEN 'next_month' THEN date_trunc('month', ref) + INTERVAL 1 MONTH
- WHEN 'this_year' THEN date_trunc('year', ref) WHEN 'last_year' THEN date_trunc('year', ref) - INTERVAL 1 YEAR ELSE date_trunc('year', ref) + INTERVAL 1 YEAR END"""
-_DAY_DATE = """day + (CASE kind WHEN 'last' THEN -(CASE WHEN (wd - i + 7) % 7 = 0 THEN 7 ELSE (wd - i + 7) % 7 END)
- WHEN 'next' THEN (CASE WHEN (i - wd + 7) % 7 = 0 THEN 7 ELSE (i - wd + 7) % 7 END) WHEN 'this' THEN i - wd ELSE -((wd - i + 7) % 7) END)::INTEGER"""
+_SIMPLE_DATE = """CASE k WHEN 'instant' THEN ref WHEN 'day' THEN day + s::INTEGER WHEN 'week' THEN date_trunc('week', ref) + to_days(7 * s::INTEGER)
+ WHEN 'month' THEN date_trunc('month', ref) + to_months(s::INTEGER) ELSE date_trunc('year', ref) + to_years(s::INTEGER) END"""
+_DAY_DATE = """day + (CASE WHEN kind = -1 THEN -(CASE WHEN (wd - i + 7) % 7 = 0 THEN 7 ELSE (wd - i + 7) % 7 END)
+ WHEN kind = 1 THEN (CASE WHEN (i - wd + 7) % 7 = 0 THEN 7 ELSE (i - wd + 7) % 7 END) WHEN kind = 0 THEN i - wd ELSE -((wd - i + 7) % 7) END)::INTEGER"""
 _YMD = "strftime({}, '%Y-%m-%d')"
 _TWO = f"""SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'I saw it ' ELSE 'They saw it ' END AS who, {_YMD.format('day - 1')} AS y, {_YMD.format(f'({_DAY_DATE})::TIMESTAMP')} AS w
  FROM ({_O}) o JOIN (VALUES {_V(_DAYS)}) v(j, e, kind, i, c) ON o.o_custkey % {len(_DAYS)} = v.j"""
 
 ORACLE = {
     "ground_simple": f"""SELECT o_orderkey, 'Report of ' || {_YMD.format('resolved')} || ' [' || e || '], as agreed.' AS grounded, resolved, 1.0::DOUBLE AS confidence, 1 AS n
-FROM (SELECT o_orderkey, e, ({_SIMPLE_DATE})::TIMESTAMP AS resolved FROM ({_O}) o JOIN (VALUES {_V(_SIMPLE)}) v(j, e, k) ON o.o_orderkey % {len(_SIMPLE)} = v.j)""",
+FROM (SELECT o_orderkey, e, ({_SIMPLE_DATE})::TIMESTAMP AS resolved FROM ({_O}) o JOIN (VALUES {_V(_SIMPLE)}) v(j, e, k, s) ON o.o_orderkey % {len(_SIMPLE)} = v.j)""",
     "ground_weekday": f"""SELECT o_orderkey, 'Visit: ' || {_YMD.format('resolved')} || ' [' || e || '].' AS grounded, resolved, c::DOUBLE AS confidence
 FROM (SELECT o_orderkey, e, c, ({_DAY_DATE})::TIMESTAMP AS resolved FROM ({_O}) o JOIN (VALUES {_V(_DAYS)}) v(j, e, kind, i, c) ON o.o_orderkey % {len(_DAYS)} = v.j)""",
     "ground_personal": f"SELECT o_orderkey, who || y || ' [yesterday]. The shop opens ' || w || ' [' || e || ']!' AS grounded, len(who) || ',' || len(who) + 26 AS starts FROM ({_TWO})",
@@ -100,6 +99,6 @@ FROM (SELECT o_orderkey, e, c, ({_DAY_DATE})::TIMESTAMP AS resolved FROM ({_O})
     "memory_ground": f"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Note of 2020-01-01: met Bob ' || y || ' [yesterday]' WHEN 1 THEN 'Born 2021-05-06' ELSE 'Likes tea' END AS memory,
  CASE o_orderkey % 3 WHEN 0 THEN 'x,event_at:' || y WHEN 1 THEN 'x,event_at:2021-05-06' ELSE 'x' END AS topics FROM (SELECT o_orderkey, {_YMD.format('o_orderdate::DATE - 1')} AS y FROM orders)""",
     "conversations_ground": "SELECT conv_id, turn, md5(text || ' I did that 2026-05-11 [last week]') AS grounded_md5, TIMESTAMP '2026-05-11 00:00:00' AS event_at FROM conversations WHERE role = 'user'",
-    "temporal_lexicon": f"""SELECT meaning, count(*) AS n, max(len(e)) AS longest, min(c) AS confidence FROM (SELECT DISTINCT e, 'simple:' || k AS meaning, 1.0::DOUBLE AS c FROM (VALUES {_V(_SIMPLE)}) v(j, e, k)
-UNION ALL SELECT e, 'weekday:' || kind || ':' || i, c::DOUBLE FROM (VALUES {_V(_DAYS)}) v(j, e, kind, i, c)) GROUP BY meaning""",
+    "temporal_lexicon": f"""SELECT k AS unit, s::INTEGER AS step, i::INTEGER AS weekday, count(*) AS n, max(len(e)) AS longest, min(c)::DOUBLE AS confidence FROM (SELECT e, k, s, NULL AS i, 1.0 AS c FROM (VALUES {_V(_SIMPLE)}) v(j, e, k, s)
+UNION ALL SELECT e, 'weekday', kind, i, c FROM (VALUES {_V(_DAYS)}) v(j, e, kind, i, c)) GROUP BY ALL""",
 }
