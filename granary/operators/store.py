@@ -6,9 +6,17 @@ by user: an empty user is refused. Upserts are one batched write of the newest r
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+import zlib
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import work
+
 SCOPE = ("user_id", "domain_id", "filename")
 EXCERPT = 400
 #: Rows of queries that a batch search may broadcast; more are joined block by block.
@@ -109,48 +117,163 @@ def keyword_search(table: DataFrame, query: Column, user_id: str | None = None)
     return rows.where(F.contains(F.lower("content"), F.lower(query)))
 
 
+class SearchableStore(Protocol):
+    """What retrieval needs of a store."""
+
+    def search(self, vector: list[float], user_id: str, domain_id: str = "", top_k: int = 5) -> DataFrame: ...
+
+
+class MemoryStore(SearchableStore, Protocol):
+    """What ingestion needs of one."""
+
+    def upsert(self, chunks: DataFrame) -> None: ...
+
+    def delete(self, **where: str) -> None: ...
+
+
+#: Buckets that a store's users are dealt to, how often a write starts over, and seconds to wait for another's version.
+BUCKETS, TRIES, PATIENCE = 64, 5, 2.0
+
+
 class KnowledgeStore:
-    """A knowledge table in a folder of Parquet files, partitioned by user; each write replaces it by a new version."""
+    """A knowledge table in a folder. Users are dealt to buckets; a bucket's rows stand in one segment, a folder of
+    Parquet files. A version is a small file that names each bucket's segment.
+
+    A write makes a segment for the buckets that it touches and no others, then the version with the next number. That
+    file can be created once: of two writers the later one starts over from the other's version. What a failed write
+    leaves is named by no version, and vacuum() deletes it. Readers of the version before the newest go on."""
 
     SCHEMA = "id string, user_id string, domain_id string, filename string, content string, content_hash string, embedding array<float>, metadata map<string,string>, seq long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._empty = spark.createDataFrame([], self.SCHEMA)
+        self.columns = self._empty.columns
 
     def _fs(self):
-        hp = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hp.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def _versions(self) -> list[int]:
-        fs, P = self._fs()
-        root = P(self.path)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n[0] == "v" and fs.exists(P(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v{versions[-1]}")
-
-    def _write(self, df: DataFrame) -> None:
-        versions = self._versions()
-        df.write.partitionBy("user_id").parquet(f"{self.path}/v{versions[-1] + 1 if versions else 0}")
-        fs, P = self._fs()
-        for old in versions[:-1]:  # readers of the version before this one go on
-            fs.delete(P(f"{self.path}/v{old}"), True)
-
-    def upsert(self, chunks: DataFrame) -> None:
-        if chunks.where("user_id is null or user_id = ''").limit(1).count():
-            raise ValueError("every chunk needs a user_id")
-        columns = [f.name for f in self.read().schema]
-        new = dedupe(with_ids(chunks), F.col("seq")).select(*columns)
-        self._write(upsert(self.read(), new))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._fs()
+        at = path(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names("versions") if n.endswith(".json") and n[:-5].isdigit())
+
+    def _version(self, number: int) -> dict[int, str] | None:
+        """Segments by bucket; None if the file isn't whole."""
+        fs, path = self._fs()
+        try:
+            stream = fs.open(path(f"{self.path}/versions/{number}.json"))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            return {int(b): s for b, s in json.loads(text).items()}
+        except Exception:  # half written, or deleted meanwhile  # noqa: BLE001
+            return None
+
+    def _newest(self) -> tuple[int, dict[int, str]]:
+        """The next version's number, and the segments of the newest whole one."""
+        numbers, began = self._numbers(), time.time()
+        while numbers and self._version(numbers[-1]) is None and time.time() - began < PATIENCE:
+            time.sleep(PATIENCE / 10)  # another writer is at it
+        for n in reversed(numbers):
+            segments = self._version(n)
+            if segments is not None:
+                return numbers[-1] + 1, segments
+        return (numbers[-1] + 1 if numbers else 0), {}
+
+    @staticmethod
+    def bucket(user_id: str) -> int:
+        return zlib.crc32(user_id.encode()) % BUCKETS
+
+    def _read(self, segments: dict[int, str]) -> DataFrame:
+        if not segments:
+            return self._empty
+        paths = [f"{self.path}/segments/{s}/bucket={b}" for b, s in sorted(segments.items())]
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
+
+    def read(self, user_id: str | None = None) -> DataFrame:
+        """All rows, or a user's: then from their bucket alone."""
+        segments = self._newest()[1]
+        if user_id is None:
+            return self._read(segments)
+        return self._read({b: s for b, s in segments.items() if b == self.bucket(user_id)}).where(F.col("user_id") == user_id)
+
+    def _replace(self, touched: list[int], change) -> None:
+        """New segments for buckets: change makes their rows of the rows before."""
+        for _ in range(TRIES):
+            number, segments = self._newest()
+            name = f"{number:08d}-{uuid.uuid4().hex}"
+            rows = change(self._read({b: s for b, s in segments.items() if b in touched}))
+            bucket = F.pmod(F.crc32(F.col("user_id").cast("binary")), F.lit(BUCKETS)).cast("int")
+            # a hot user's rows are cut into several tasks
+            rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/segments/{name}")
+            made = {int(n.split("=")[1]) for n in self._names(f"segments/{name}") if n.startswith("bucket=")}
+            new = {b: s for b, s in segments.items() if b not in touched} | dict.fromkeys(made, name)
+            if self._commit(number, new):
+                return
+            work.remove(self.spark, f"{self.path}/segments/{name}")
+        raise RuntimeError(f"others write to {self.path} all the time")
+
+    def _commit(self, number: int, segments: dict[int, str]) -> bool:
+        fs, path = self._fs()
+        try:
+            out = fs.create(path(f"{self.path}/versions/{number}.json"), False)
+        except Exception:  # another writer has this number  # noqa: BLE001
+            return False
+        try:
+            out.write(bytearray(json.dumps(segments).encode()))
+        finally:
+            out.close()
+        old = [n for n in self._numbers() if n < number - 1]
+        live = set(segments.values()) | set((self._version(number - 1) or {}).values())
+        for n in old:
+            for s in set((self._version(n) or {}).values()) - live:
+                work.remove(self.spark, f"{self.path}/segments/{s}")
+            fs.delete(path(f"{self.path}/versions/{n}.json"), False)
+        return True
+
+    def vacuum(self) -> None:
+        """Delete segments that no version names: what failed writes left. Not while another writes."""
+        live = {s for n in self._numbers() for s in (self._version(n) or {}).values()}
+        for s in set(self._names("segments")) - live:
+            work.remove(self.spark, f"{self.path}/segments/{s}")
+
+    def upsert(self, chunks: DataFrame, staged: bool = False) -> None:
+        """staged: chunks are a table of files already, so they needn't be written to be worked out once."""
+        staging = None
+        if not staged:
+            staging = work.work_dir(self.spark, "upsert")
+            chunks = work.written(chunks, staging)
+        try:
+            if chunks.where("user_id is null or user_id = ''").limit(1).count():
+                raise ValueError("every chunk needs a user_id")
+            new = dedupe(with_ids(chunks), F.col("seq")).select(*self.columns)
+            bucket = F.pmod(F.crc32(F.col("user_id").cast("binary")), F.lit(BUCKETS)).cast("int")
+            touched = [r[0] for r in chunks.select(bucket).distinct().collect()]
+            if touched:
+                self._replace(touched, lambda before: upsert(before, new))
+        finally:
+            if staging:
+                work.remove(self.spark, staging)
 
     def delete(self, **where: str) -> None:
-        self._write(delete(self.read(), **where))
+        segments = self._newest()[1]
+        if "user_id" in where:
+            segments = {b: s for b, s in segments.items() if b == self.bucket(where["user_id"] or "")}
+        hit = F.lit(True)
+        for c, v in where.items():
+            hit = hit & F.col(c).eqNullSafe(F.lit(v))
+        bucket = F.pmod(F.crc32(F.col("user_id").cast("binary")), F.lit(BUCKETS)).cast("int")
+        touched = [r[0] for r in self._read(segments).where(hit).select(bucket).distinct().collect()]
+        if touched:
+            self._replace(touched, lambda before: delete(before, **where))
 
     def search(self, vector: list[float], user_id: str, domain_id: str = "", top_k: int = 5) -> DataFrame:
-        return search(self.read(), vector, user_id, domain_id, top_k)
+        if not user_id:
+            raise ValueError("a search needs a user_id")
+        return search(self.read(user_id), vector, user_id, domain_id, top_k)

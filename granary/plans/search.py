@@ -34,7 +34,7 @@ def vector_topk_batch(spark, d):
 
 
 def search_json(spark, d):
-    hits = store.search(knowledge(spark, d), _query(spark, d), "u0", top_k=3).withColumn("score", F.lit(1.0))
+    hits = store.search(knowledge(spark, d), _query(spark, d), "u0", top_k=3).withColumn("score", F.round("score", 6))
     return store.search_json(hits)
 
 
@@ -73,9 +73,10 @@ _K = "k AS (SELECT lpad(vec_id::VARCHAR, 8, '0') AS id, 'u' || vec_id % 3 AS use
 ORACLE = {
     "vector_topk": f"WITH {_K} SELECT id, round(s, 6) AS score FROM (SELECT id, list_cosine_similarity(e, v) AS s FROM k, q WHERE user_id = 'u0') ORDER BY s DESC, id LIMIT 10",
     "scoped_search": f"WITH {_K} SELECT id, round(-s, 5) AS score FROM (SELECT id, list_distance(e, v) AS s FROM k, q WHERE user_id = 'u1' AND domain_id = 'd3') ORDER BY s, id LIMIT 5",
-    "vector_topk_batch": f"WITH {_K} SELECT query_id, rank::INTEGER AS rank, id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT a.id AS query_id, b.id, list_inner_product(b.e, a.e) AS s FROM k a JOIN k b USING (user_id, domain_id) WHERE a.vec_id < 10)) WHERE rank <= 5",
+    "vector_topk_batch": f"WITH {_K} SELECT query_id, rank::INTEGER AS rank, id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT a.id AS query_id, b.id, list_inner_product(b.e, a.e) AS s FROM k a JOIN k b USING (user_id, domain_id) WHERE a.vec_id % 50 = 0)) WHERE rank <= 5",
+    "search_json": f"WITH {_K} SELECT to_json({{'chunks': list({{'id': id, 'domain_id': domain_id, 'excerpt': 'content of ' || vec_id, 'score': round(s, 6), 'filename': 'f.txt'}} ORDER BY s DESC, id)}})::VARCHAR AS json FROM (SELECT *, list_cosine_similarity(e, v) AS s FROM k, q WHERE user_id = 'u0' ORDER BY s DESC, id LIMIT 3)",
     "keyword_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')",
-    "dedupe_hash": "SELECT lang AS domain_id, md5(lang || ':' || left(text, 40)) AS content_hash, max(doc_id) AS doc_id FROM documents GROUP BY ALL",
+    "dedupe_hash": "SELECT lang AS domain_id, md5(lang || ':' || text) AS content_hash, max(doc_id) AS doc_id FROM documents GROUP BY ALL",
     "meta_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'filename=x,k=reader,user_id=u1' ELSE 'filename=x,k=caller,sheet=S,user_id=u1' END AS meta FROM orders",
     "store_upsert": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new2' ELSE 'old' END AS content, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS seq FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0",
     "store_delete": "SELECT doc_id, lang AS domain_id, source AS filename FROM documents WHERE NOT (lang = 'en' AND source = 'src1')",

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators.work import work_dir
 from granary.streaming import ingest
 
 from . import chunks
 from . import ingest as batch
 
 
-def work_dir(spark: SparkSession) -> str:
-    """In the folder that the cluster shares; where it names none, a temporary one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="granary-stream-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     return ingest.read_files(spark, path + "*" if _is_file(spark, path) else path, spark.read.parquet(path).schema)
@@ -42,17 +29,17 @@ def _result(spark, stream, work, mode="append"):
 
 def stream_ingest(spark, d):
     docs = _stream(spark, d, "documents").withColumn("domain_id", F.col("lang"))
-    return _result(spark, ingest.chunk_stream(docs).select("doc_id", "chunk_index", "content_hash"), work_dir(spark))
+    return _result(spark, ingest.chunk_stream(docs).select("doc_id", "chunk_index", "content_hash"), work_dir(spark, "stream"))
 
 
 def stream_dedupe(spark, d):
     docs = _stream(spark, d, "documents").select(F.lit("u").alias("user_id"), F.col("lang").alias("domain_id"), F.md5("text").alias("content_hash"), F.lit("2026-01-01").cast("timestamp").alias("at"))
-    return _result(spark, ingest.dedupe_stream(docs, "at").select("domain_id", "content_hash"), work_dir(spark))
+    return _result(spark, ingest.dedupe_stream(docs, "at").select("domain_id", "content_hash"), work_dir(spark, "stream"))
 
 
 def stream_windows(spark, d):
     events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    work = work_dir(spark)
+    work = work_dir(spark, "stream")
     ingest.run_available(ingest.windowed_counts(events), f"{work}/checkpoint", each=lambda b, i: b.write.mode("overwrite").parquet(f"{work}/out"), mode="complete")
     return spark.read.schema("start timestamp, event_type string, n long").parquet(f"{work}/out")
 
