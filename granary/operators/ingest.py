@@ -27,8 +27,8 @@ class Ingested:
     jobs: DataFrame
 
 
-def ingest(docs: DataFrame, ref: Column, mode: str = "auto", embed=hashed_vector, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP) -> Ingested:
-    """docs: job_id, doc_id, user_id, domain_id, filename, content, error, and for tables block_type, headings,
+def ingest(docs: DataFrame, ref: Column, mode: str = "auto", embed=hashed_vector, max_tokens: int = chunking.MAX_TOKENS, overlap: int = chunking.OVERLAP, save=lambda df: df) -> Ingested:
+    """save: makes a table of files of the chunks, where they are read more than once. docs: job_id, doc_id, user_id, domain_id, filename, content, error, and for tables block_type, headings,
     table_columns, table_rows, table_label. Rows with an error fail their job and go no further."""
     optional = {"block_type": "string", "headings": "array<string>", "table_columns": "array<string>", "table_rows": "array<map<string,string>>", "table_label": "string", "error": "string"}
     docs = docs.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in docs.columns})
@@ -36,7 +36,7 @@ def ingest(docs: DataFrame, ref: Column, mode: str = "auto", embed=hashed_vector
     grounded = grounding.ground(good.withColumn("__ref", ref), "content", "__ref", mode).withColumn("event_at", F.get("groundings", F.lit(0))["resolved"])
     grounded = grounded.withColumn("content", F.col("grounded")).drop("grounded", "__ref")
     chunks = chunking.chunk_documents(grounded, max_tokens, overlap).select("job_id", "doc_id", "user_id", "domain_id", "filename", "event_at", "chunk_index", F.col("chunk").alias("content"))
-    chunks = store.with_ids(chunks).withColumn("embedding", embed(F.col("content")))
+    chunks = save(store.with_ids(chunks).withColumn("embedding", embed(F.col("content"))))
     counts = chunks.groupBy("job_id").agg(F.count("*").alias("chunks_count"))
     state = F.when(F.max("error").isNotNull(), "failed").otherwise("completed")
     done = F.when(F.max("error").isNull(), F.array(*[F.lit(s) for s in jobs.STEPS])).otherwise(F.array().cast("array<string>"))

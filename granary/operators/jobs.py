@@ -76,6 +76,11 @@ def fold_jobs(events: DataFrame, order: str = "seq") -> DataFrame:
     return j.select("job_id", last["state"].alias("state"), current.alias("current_step"), done.alias("completed_steps"), last["error"].alias("error"))
 
 
+def without(files: DataFrame, gone: DataFrame, key: str = "file_id") -> DataFrame:
+    """Rows of files (their own, their tables', their chunks') less those of files that are gone."""
+    return files.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def step_status(step: Column, completed: Column, current: Column, state: Column) -> Column:
     """done, active, failed or pending; a failed job without a current step failed at the one after its last."""
     names = F.array(*[F.lit(s) for s in STEPS])
@@ -109,6 +114,22 @@ def trace_runs(runs: DataFrame, tools: DataFrame, retrievals: DataFrame, answers
     return runs.join(t, "run_id", "left").join(r, "run_id", "left").join(a, "run_id", "left").select(*runs.columns, *[zero(c) for c in ("n_tools", "n_retrievals", "n_chunks")], "answer")
 
 
+def trace_spans(runs: DataFrame, tools: DataFrame, retrievals: DataFrame, answers: DataFrame) -> DataFrame:
+    """trace_id, span_id, parent_id, kind, name, input, output, seq: a root span for each run and a child for each call
+    in it, under ids that sending again doesn't change. Calls of unknown runs are dropped."""
+    ident = lambda *c: F.substring(F.sha2(F.concat_ws("/", *c), 256), 1, 16)
+    text = lambda c: F.col(c).cast("string")
+    root = ident(F.lit("run"), text("run_id"))
+    out = runs.select(text("run_id").alias("trace_id"), root.alias("span_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("run").alias("kind"), F.lit("run").alias("name"), "input", "output", "seq")
+    for kind, calls, name, given, got in (("tool", tools, "name", "args", "result"), ("retriever", retrievals, None, "query", None), ("generation", answers, None, None, "answer")):
+        known = calls.join(runs.select("run_id"), "run_id", "left_semi")
+        value = lambda c: F.lit(None).cast("string") if c is None else text(c)
+        result = F.to_json("chunks") if kind == "retriever" else value(got)
+        span = ident(F.lit(kind), text("run_id"), text("seq"), F.coalesce(value(name), F.lit("")))
+        out = out.unionByName(known.select(text("run_id").alias("trace_id"), span.alias("span_id"), root.alias("parent_id"), F.lit(kind).alias("kind"), (F.lit(kind) if name is None else text(name)).alias("name"), value(given).alias("input"), result.alias("output"), "seq"))
+    return out
+
+
 def page_of(df: DataFrame, order: list, page: int, size: int = 20) -> DataFrame:
     return df.orderBy(*order).offset(page * size).limit(size)
 

@@ -12,8 +12,9 @@ SAMPLE_ROWS = 100
 TYPES = {"TEXT": "string", "BIGINT": "bigint", "NUMERIC": "double", "DATE": "date", "TIMESTAMPTZ": "timestamp", "BOOLEAN": "boolean"}
 INTEGER = r"(?U)^\s*[+-]?\d+(_\d+)*\s*$"
 FLOAT = r"(?iU)^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*(e[+-]?\d+(_\d+)*)?|\d+(_\d+)*\.(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\s*$"
-DATE = r"^\d{4}-\d{2}-\d{2}$"
-DATETIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?$"
+#: The shapes of ISO dates and times, whether or not such a day is in the calendar.
+DATE = r"^\d{4}(-\d\d){2}$"
+DATETIME = r"^\d{4}(-\d\d){2}[T ]\d\d(:\d\d){1,2}$"
 #: A database's type names as the wire has them.
 WIRE_TYPES = {
     "integer": "BIGINT", "bigint": "BIGINT", "smallint": "BIGINT", "numeric": "NUMERIC", "real": "NUMERIC", "double precision": "NUMERIC",
@@ -123,8 +124,29 @@ def known_descriptions(found: Column, columns: Column) -> Column:
     return F.map_filter(found, lambda k, v: F.array_contains(columns, k) & v.isNotNull())
 
 
+def guarded(name: str, domain: str) -> str:
+    """A table's name, if it is one of the domain's; anything else raises ValueError."""
+    prefix = f"sd_{domain[:8]}_"
+    if not domain or not name.startswith(prefix) or not name.replace("_", "").isalnum():
+        raise ValueError(f"{name} is no table of {domain}")
+    return name
+
+
+def columns_of(spark: SparkSession, name: str) -> list[tuple[str, str]]:
+    """(column, type) in order, with the types' names on the wire, without _row_id."""
+    ours = {v: k for k, v in TYPES.items()}
+    return [(f.name, ours.get(f.dataType.simpleString(), "TEXT")) for f in spark.table(name).schema.fields if f.name != "_row_id"]
+
+
 def catalogue(spark: SparkSession, prefix: str, annotations: DataFrame) -> DataFrame:
-    """table_name, description, n_columns of the managed tables with a prefix, with what annotations say of them."""
-    names = [(t.name, len([c for c in spark.catalog.listColumns(t.name) if c.name != "_row_id"])) for t in spark.catalog.listTables() if t.name.startswith(prefix)]
-    tables = spark.createDataFrame(names, "table_name string, n_columns int")
-    return tables.join(annotations, "table_name", "left").select("table_name", "n_columns", F.coalesce("description", F.lit("")).alias("description")).orderBy("table_name")
+    """table_name, n_columns, n_rows, columns (name and type), description of the managed tables with a prefix, with
+    what annotations say of them. A table that can't be counted has 0 rows."""
+    names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
+    rows = []
+    for name in names:
+        try:
+            rows.append((name, columns_of(spark, name), spark.table(name).count()))
+        except Exception:  # its files may be gone  # noqa: BLE001
+            rows.append((name, [], 0))
+    tables = spark.createDataFrame(rows, "table_name string, columns array<struct<name:string,type:string>>, n_rows long")
+    return tables.join(annotations, "table_name", "left").select("table_name", F.size("columns").alias("n_columns"), "n_rows", "columns", F.coalesce("description", F.lit("")).alias("description")).orderBy("table_name")

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
-from granary.operators.jobs import READERS
+from granary.operators import grids, pdf
+from granary.operators.jobs import READERS, reader_of
 
 CELLS = "file_id string, sheet_idx int, sheet_name string, row int, col int, value string, merged boolean, error string"
 #: The delimiters that a file may have, how much of it tells, and the number formats that are dates.
@@ -143,8 +144,8 @@ def read_cells(files: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CELLS.split(", ")]
-        for pdf in batches:
-            for path, raw, ext in zip(pdf["path"], pdf["content"], pdf["extension"]):
+        for batch in batches:
+            for path, raw, ext in zip(batch["path"], batch["content"], batch["extension"]):
                 try:
                     if READERS.get(ext) != "spreadsheet":
                         raise ValueError(f"no sheets in files of the extension {ext!r}")
@@ -166,6 +167,79 @@ def read_texts(files: DataFrame) -> DataFrame:
     return files.where(F.col("extension").isin(".txt", ".md")).select(F.col("path").alias("file_id"), content.alias("content"), F.lit("text").alias("source_type"), tx.base_name(F.col("path")).alias("source_name"))
 
 
+PAGES = "file_id string, page_no int, text string, words array<struct<x0:double,x1:double,top:double,bottom:double,text:string>>, tables array<struct<x0:double,top:double,x1:double,bottom:double,cells:array<array<string>>,columns:array<struct<x0:double,x1:double>>>>, error string"
+
+
+def read_pages(files: DataFrame, load: Callable[[], Callable[[bytes], list[dict]]]) -> DataFrame:
+    """A row for each page of binary files, or one with an error for a file. load makes a function of a file's bytes
+    that gives its pages in order: dicts of text, words (x0, x1, top, bottom, text) and tables (box, cells, columns)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = load()
+        names = ["file_id", "page_no", "text", "words", "tables", "error"]
+        for batch in batches:
+            for path, raw in zip(batch["path"], batch["content"]):
+                try:
+                    rows = []
+                    for n, page in enumerate(f(bytes(raw)), 1):
+                        words = [dict(zip(("x0", "x1", "top", "bottom", "text"), w)) for w in page.get("words", [])]
+                        tables = [{**dict(zip(("x0", "top", "x1", "bottom"), t["box"])), "cells": t["cells"], "columns": [dict(zip(("x0", "x1"), c)) for c in t.get("columns", [])]} for t in page.get("tables", [])]
+                        rows.append((path, n, page.get("text") or "", words, tables, None))
+                except Exception as e:  # noqa: BLE001
+                    rows = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=names).astype({"page_no": "Int32"})
+
+    mine = files.where(F.col("extension").isin([e for e, r in READERS.items() if r == "pdf"]))
+    return mine.select("path", "content").mapInPandas(work, PAGES)
+
+
+#: What every reader's documents have.
+DOCUMENT = "file_id string, doc_id string, content string, source_type string, source_name string, block_type string, headings array<string>, table_columns array<string>, table_rows array<map<string,string>>, table_label string, error string"
+
+
+def kind_of(filename: str) -> str | None:
+    return READERS.get("." + filename.rsplit(".", 1)[-1].lower()) if "." in filename else None
+
+
+def _shaped(df: DataFrame) -> DataFrame:
+    names = [c.strip() for c in re.split(r",(?![^<]*>)", DOCUMENT)]
+    types = dict(c.split(" ", 1) for c in names)
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def documents(files: DataFrame, readers: dict[str, Callable] | None = None) -> DataFrame:
+    """The documents of binary files (path, content, extension), by extension: texts, sheets block by block, and what
+    loaders in readers (pdf, audio, image) read. A file that has no reader, or whose reader fails, has an error."""
+    readers = readers or {}
+    files = files.withColumn("reader", F.coalesce(reader_of(F.col("path")), F.lit("")))
+    ident = lambda kind: F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.col("file_id"), 256), 1, 16))
+    name = tx.base_name(F.col("file_id"))
+    out = [_shaped(read_texts(files).withColumn("doc_id", ident("text")))]
+    cells = read_cells(files.where("reader = 'spreadsheet'"))
+    out.append(_shaped(cells.where("error is not null").select("file_id", "error", name.alias("source_name"), F.lit("spreadsheet").alias("source_type"))))
+    good = cells.where("error is null").drop("error")
+    blocks = grids.parse(good)
+    rows = grids.tables_of(blocks, good).where(F.size("headers") > 0)
+    rows = rows.select("file_id", "block_index", F.col("headers").alias("table_columns"), pdf.row_maps(F.col("headers"), F.col("rows")).alias("table_rows"))
+    sheets = grids.documents(blocks, good).select("doc_id", "content", "source_type", F.col("source_name").alias("file_id"), "metadata.block_type", "metadata.block_index", F.col("metadata.sheet_name").alias("table_label"))
+    out.append(_shaped(sheets.join(rows, ["file_id", "block_index"], "left").withColumn("source_name", name)))
+    if "pdf" in readers:
+        pages = read_pages(files, readers["pdf"])
+        out.append(_shaped(pages.where("error is not null").select("file_id", "error", name.alias("source_name"), F.lit("pdf").alias("source_type"))))
+        found = pdf.blocks(pages.where("error is null"))
+        out.append(_shaped(pdf.documents(found).withColumn("source_name", name)))
+        out.append(_shaped(fallback_documents(pages.where("error is null"), found).withColumn("source_type", F.lit("pdf")).withColumn("source_name", name).withColumn("doc_id", ident("pdf"))))
+    for kind in ("audio", "image"):
+        if kind in readers:
+            out.append(_shaped(read_media(files, kind, readers[kind]).withColumn("doc_id", ident(kind))))
+    left = files.where(~F.col("reader").isin("text", "spreadsheet", *readers)).select(F.col("path").alias("file_id"), F.concat(F.lit("no reader for "), F.col("extension")).alias("error"), tx.base_name(F.col("path")).alias("source_name"))
+    out.append(_shaped(left))
+    every = out[0]
+    for df in out[1:]:
+        every = every.unionByName(df)
+    return every
+
+
 def join_pages(pages: DataFrame) -> DataFrame:
     """file_id, content, page_count of pages (file_id, page_no, text): those that aren't blank, in order."""
     each = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: ~tx.is_blank(F.coalesce(p["text"], F.lit("")))), lambda p: p["text"])
@@ -183,9 +257,9 @@ def read_media(files: DataFrame, kind: str, load: Callable[[], Callable[[bytes,
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = load()
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for path, raw, ext in zip(pdf["path"], pdf["content"], pdf["extension"]):
+            for path, raw, ext in zip(batch["path"], batch["content"], batch["extension"]):
                 try:
                     rows.append((path, f(bytes(raw), ext), None))
                 except Exception as e:  # noqa: BLE001
