@@ -137,7 +137,9 @@ def page_of(df: DataFrame, order: list, page: int, size: int = 20) -> DataFrame:
 def payload(docs: DataFrame) -> DataFrame:
     """job_id, payload: what was read, as it was before dates were resolved; dates as ISO strings."""
     one = F.struct(F.col("doc_id").alias("id"), "source_type", "source_name", "content", "metadata")
-    return docs.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("p")))).alias("x")).select("job_id", F.transform("x", lambda x: x["p"]).alias("payload"))
+    # by id alone, nulls last: maps have no order
+    before = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).when(a["id"].isNull() & b["id"].isNotNull(), 1).when(a["id"].isNotNull() & b["id"].isNull(), -1).otherwise(0)
+    return docs.groupBy("job_id").agg(F.array_sort(F.collect_list(one), before).alias("payload"))
 
 
 def preview(docs: DataFrame) -> DataFrame:

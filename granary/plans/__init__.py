@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, grids, ground, ingest, jobs, pages, pdf, search, sql, stream, tables
+from . import chunks, files, grids, ground, ingest, jobs, pages, pdf, search, sql, stream, tables
 
-FAMILIES = (chunks, ground, tables, grids, pages, pdf, search, jobs, ingest, sql, stream)
+FAMILIES = (chunks, ground, tables, grids, pages, pdf, files, search, jobs, ingest, sql, stream)
 
 
 def queries() -> dict:

@@ -70,7 +70,12 @@ def chunk_dispatch(spark, d):
     return ck.chunk_documents(both, 100, 10).select("id", "block_type", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_window, chunk_window_stats, block_split, chunk_structured, chunk_prose, chunk_table, chunk_dispatch)}
+def chunk_strategy(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return ck.chunk_column(docs, "text", "window", max_tokens=50, overlap=5).select("chunk_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_strategy, chunk_window, chunk_window_stats, block_split, chunk_structured, chunk_prose, chunk_table, chunk_dispatch)}
 
 WINDOWS = """
 SELECT {cols}, unnest(list_filter(list_transform(range(0, CASE WHEN len(w) < {m} THEN 1 ELSE (len(w) - {m}) // {s} + 2 END),
@@ -112,6 +117,7 @@ FROM (SELECT r_regionkey, 'Atlas > ' || r_name || ' — Nations of ' || r_name A
 _PROSE = "CASE WHEN len(cs) = 0 THEN [''] ELSE cs END"
 
 ORACLE = {
+    "chunk_strategy": f"SELECT doc_id || '_' || chunk_index AS chunk_id, chunk_index, md5(content) AS chunk_md5 FROM ({WINDOWS.format(cols='doc_id', m=50, s=45)})",
     "chunk_window": WINDOWS.format(cols="doc_id", m=400, s=360),
     "chunk_window_stats": f"SELECT lang, count(*) AS n_chunks, count(DISTINCT md5(content)) AS n_distinct, sum(len(regexp_extract_all(content, '\\S+')))::BIGINT AS n_tokens, max(len(regexp_extract_all(content, '\\S+'))) AS longest FROM ({WINDOWS.format(cols='lang', m=100, s=90)}) GROUP BY lang",
     "block_split": f"WITH {_MARKED} SELECT doc_id, unnest(range(0, len(bs))) AS block_index, unnest(bs) AS block FROM listed",

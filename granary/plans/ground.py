@@ -69,12 +69,17 @@ def conversations_ground(spark, d):
     return g.ground(c, "text", "ref", "auto").select("conv_id", "turn", F.md5("grounded").alias("grounded_md5"), F.get("groundings", F.lit(0))["resolved"].alias("event_at"))
 
 
+def episodes(spark, d):
+    o = _orders(spark, d).withColumn("text", F.when(F.col("o_orderkey") % 2 == 0, "They came next month.").otherwise("Nothing to say.")).withColumn("user", F.concat(F.lit("u"), (F.col("o_custkey") % 9).cast("string")))
+    return g.episodes(o, "text", "ref", "user").select("o_orderkey", "user_id", "content", "event_at")
+
+
 def temporal_lexicon(spark, d):
     rows = [(e, *m) for e, m in g.meanings().items()]
     return spark.createDataFrame(rows, f"expression string, {g.MEANING}").groupBy("unit", "step", "weekday").agg(F.count("*").alias("n"), F.max(F.length("expression")).alias("longest"), F.min("confidence").alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (ground_simple, ground_weekday, ground_personal, ground_auto, iso_event_at, topics_update, memory_ground, conversations_ground, temporal_lexicon)}
+QUERIES = {f.__name__: f for f in (ground_simple, ground_weekday, ground_personal, ground_auto, iso_event_at, topics_update, memory_ground, conversations_ground, episodes, temporal_lexicon)}
 
 _V = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else "NULL" if x is None else str(x) for x in (i, *r)) + ")" for i, r in enumerate(rows))
 _O = "SELECT o_orderkey, o_custkey, o_orderdate AS ref, o_orderdate::DATE AS day, (isodow(o_orderdate) - 1)::INTEGER AS wd FROM orders"
@@ -99,6 +104,8 @@ FROM (SELECT o_orderkey, e, c, ({_DAY_DATE})::TIMESTAMP AS resolved FROM ({_O})
     "memory_ground": f"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Note of 2020-01-01: met Bob ' || y || ' [yesterday]' WHEN 1 THEN 'Born 2021-05-06' ELSE 'Likes tea' END AS memory,
  CASE o_orderkey % 3 WHEN 0 THEN 'x,event_at:' || y WHEN 1 THEN 'x,event_at:2021-05-06' ELSE 'x' END AS topics FROM (SELECT o_orderkey, {_YMD.format('o_orderdate::DATE - 1')} AS y FROM orders)""",
     "conversations_ground": "SELECT conv_id, turn, md5(text || ' I did that 2026-05-11 [last week]') AS grounded_md5, TIMESTAMP '2026-05-11 00:00:00' AS event_at FROM conversations WHERE role = 'user'",
+    "episodes": f"""SELECT o_orderkey, 'u' || o_custkey % 9 AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'They came ' || {_YMD.format("m")} || ' [next month].' ELSE 'Nothing to say.' END AS content,
+ CASE WHEN o_orderkey % 2 = 0 THEN m END AS event_at FROM (SELECT o_orderkey, o_custkey, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::TIMESTAMP AS m FROM orders)""",
     "temporal_lexicon": f"""SELECT k AS unit, s::INTEGER AS step, i::INTEGER AS weekday, count(*) AS n, max(len(e)) AS longest, min(c)::DOUBLE AS confidence FROM (SELECT e, k, s, NULL AS i, 1.0 AS c FROM (VALUES {_V(_SIMPLE)}) v(j, e, k, s)
 UNION ALL SELECT e, 'weekday', kind, i, c FROM (VALUES {_V(_DAYS)}) v(j, e, kind, i, c)) GROUP BY ALL""",
 }

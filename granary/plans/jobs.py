@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as tx
 from granary.operators import jobs as jb
+from granary.operators import retrieval as rt
 
 from .common import table
 
@@ -77,7 +78,41 @@ def memory_cards(spark, d):
     return jb.page_of(doc.select("doc_id", tx.ellipsis(F.col("text"), 240).alias("card"), jb.icon(F.when(F.col("doc_id") % 2 == 0, "audio").otherwise("x")).alias("icon")), ["doc_id"], 1)
 
 
-QUERIES = {f.__name__: f for f in (job_latest, job_step_status, ingest_route, file_registry, file_listing, trace_lineage, source_refs, memory_cards)}
+def trace_spans(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "run_id")
+    runs = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("run_id"), F.lit("in").alias("input"), F.col("o_orderstatus").alias("output"), F.col("o_orderkey").alias("seq"))
+    tools = li.select("run_id", F.concat(F.lit("tool"), (F.col("l_linenumber") % 2).cast("string")).alias("name"), F.lit("{}").alias("args"), F.lit("[]").alias("result"), F.col("l_linenumber").alias("seq"))
+    asked = li.where("l_linenumber = 1").select("run_id", F.lit("q").alias("query"), F.array(F.lit("c1"), F.lit("c2")).alias("chunks"), "l_linenumber").withColumnRenamed("l_linenumber", "seq")
+    said = o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("run_id"), F.lit("a").alias("answer"), F.lit(9).alias("seq"))
+    return jb.trace_spans(runs, tools, asked, said).select("trace_id", "span_id", "parent_id", "kind", "name", "output")
+
+
+def _docs(spark, d):
+    t = table(spark, d, "documents")
+    return t.select(F.col("source").alias("job_id"), "doc_id", F.lit("text").alias("source_type"), F.col("source").alias("source_name"), F.col("text").alias("content"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+
+
+def job_payload(spark, d):
+    p = jb.payload(_docs(spark, d))
+    return p.select("job_id", F.size("payload").alias("n_documents"), F.md5(F.array_join(F.transform("payload", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["metadata"]["lang"], F.lit(":"), F.md5(x["content"]))), ",")).alias("payload_md5"))
+
+
+def job_preview(spark, d):
+    return jb.preview(_docs(spark, d)).select("job_id", "n_blocks", F.md5(F.array_join("blocks", "|")).alias("blocks_md5"))
+
+
+def source_types(spark, d):
+    f = _files(spark, d).withColumn("source_type", jb.reader_of(F.col("filename")))
+    return rt.of_source_types(f, "text,pdf,,Audio").select("o_orderkey", "source_type")
+
+
+def registry_cascade(spark, d):
+    f = _files(spark, d).select("o_orderkey", F.col("o_custkey").alias("file_id"))
+    gone = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("file_id"))
+    return jb.without(f, gone).select("o_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (job_latest, job_step_status, ingest_route, file_registry, file_listing, trace_lineage, source_refs, memory_cards, trace_spans, job_payload, job_preview, source_types, registry_cascade)}
 _J = """e AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), c AS (SELECT job_id, least(max(n), 4) AS n FROM e GROUP BY job_id),
 j AS (SELECT job_id, CASE WHEN n = 4 AND job_id % 3 = 0 THEN 'failed' WHEN n = 4 AND job_id % 3 = 1 THEN 'completed' ELSE 'processing' END AS state, least(n, 3) AS p FROM c),
 k AS (SELECT *, CASE WHEN state = 'completed' THEN p ELSE p - 1 END AS done FROM j)"""
@@ -95,5 +130,14 @@ ORACLE = {
     "trace_lineage": """SELECT o_orderkey AS run_id, o_custkey AS user_id, count(*) FILTER (l_linenumber % 2 = 0) AS n_tools, count(*) FILTER (l_linenumber % 2 = 1) AS n_retrievals, coalesce(sum(l_linenumber) FILTER (l_linenumber % 2 = 1), 0)::BIGINT AS n_chunks,
  CASE WHEN o_orderkey % 4 = 0 THEN 'a' || o_orderkey END AS answer FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""",
     "source_refs": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'episodic' WHEN 1 THEN 'knowledge' WHEN 2 THEN 'data' WHEN 3 THEN 'web' END AS source_type, CASE WHEN doc_id % 5 < 4 THEN md5(left(text, 300)) END AS excerpt_md5 FROM documents",
+    "trace_spans": """WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS s, substr(sha256('run/' || o_orderkey), 1, 16) AS root FROM orders WHERE o_orderkey % 3 <> 0), t AS (SELECT * FROM lineitem JOIN r ON l_orderkey = id)
+SELECT id::VARCHAR AS trace_id, root AS span_id, NULL AS parent_id, 'run' AS kind, 'run' AS name, s AS output FROM r
+UNION ALL SELECT id::VARCHAR, substr(sha256('tool/' || id || '/' || l_linenumber || '/tool' || l_linenumber % 2), 1, 16), root, 'tool', 'tool' || l_linenumber % 2, '[]' FROM t
+UNION ALL SELECT id::VARCHAR, substr(sha256('retriever/' || id || '/1/'), 1, 16), root, 'retriever', 'retriever', '["c1","c2"]' FROM t WHERE l_linenumber = 1
+UNION ALL SELECT id::VARCHAR, substr(sha256('generation/' || id || '/9/'), 1, 16), root, 'generation', 'generation', 'a' FROM r WHERE id % 4 = 0""",
+    "job_payload": "SELECT source AS job_id, count(*)::INTEGER AS n_documents, md5(string_agg(doc_id || ':' || lang || ':' || md5(text), ',' ORDER BY doc_id)) AS payload_md5 FROM documents GROUP BY source",
+    "job_preview": "SELECT source AS job_id, count(*) AS n_blocks, md5(string_agg(left(text, 400), '|' ORDER BY doc_id)) AS blocks_md5 FROM documents GROUP BY source",
+    "source_types": f"WITH {_F} SELECT o_orderkey, CASE WHEN e = '.pdf' THEN 'pdf' ELSE 'text' END AS source_type FROM f WHERE e IN ('.txt', '.md', '.pdf')",
+    "registry_cascade": "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)",
     "memory_cards": "SELECT doc_id, CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE text END AS card, CASE WHEN doc_id % 2 = 0 THEN '🎵' ELSE '📄' END AS icon FROM documents ORDER BY doc_id LIMIT 20 OFFSET 20",
 }

@@ -1,5 +1,5 @@
-"""Queries on page layout: events as words on pages, placed by arithmetic; headings made of orders. Where the SQL has
-50 pages, so has the query; elsewhere a page holds so many events and the number of pages grows."""
+"""Queries on page layout: events as words on pages, placed by arithmetic; headings made of orders. A page holds so many
+events, and the number of pages grows with them: each 10,000 events fill 50 pages."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ def words(spark, d):
     e = table(spark, d, "events")
     x0 = (F.col("event_id") * 37 % 500).cast("double")
     top = F.expr("cast(event_id div 50 % 40 * 20 as double)")
-    return e.select("event_id", (F.col("event_id") % 50).alias("page"), F.expr("event_id div 50 % 40").alias("band"), x0.alias("x0"), (x0 + 20).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.col("event_type").alias("text"))
+    return e.select("event_id", F.expr("event_id div 10000 * 50 + event_id % 50").alias("page"), F.expr("event_id div 50 % 40").alias("band"), x0.alias("x0"), (x0 + 20).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.col("event_type").alias("text"))
 
 
 def cell_split(spark, d):
@@ -91,7 +91,7 @@ def all_caps(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (cell_split, row_group, center_cluster, nearest_column, band_words, stream_tables, header_rows, table_records, page_text_blocks, heading_path_by_line, heading_stack, all_caps)}
-_W = "w AS (SELECT event_id, event_id % 50 AS page, event_id // 50 % 40 AS band, (event_id * 37 % 500)::DOUBLE AS x0, (event_id * 37 % 500)::DOUBLE + 20 AS x1, event_type AS text FROM events)"
+_W = "w AS (SELECT event_id, event_id // 10000 * 50 + event_id % 50 AS page, event_id // 50 % 40 AS band, (event_id * 37 % 500)::DOUBLE AS x0, (event_id * 37 % 500)::DOUBLE + 20 AS x1, event_type AS text FROM events)"
 _CL = "ch AS (SELECT page, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) > 40 THEN 1 ELSE 0 END AS nw FROM w), k AS (SELECT page, x0, sum(nw) OVER (PARTITION BY page ORDER BY x0 RANGE UNBOUNDED PRECEDING)::INTEGER AS \"column\" FROM ch), cc AS (SELECT page, \"column\", avg(x0) AS mid FROM k GROUP BY ALL)"
 _L = """l AS (SELECT o_custkey, o_orderkey, (o_orderkey % 4 + 1)::INTEGER AS depth, o_orderkey % 7 <> 0 AS head, array_to_string([o_orderkey % 5 + 1, o_orderkey % 6 + 1, o_orderkey % 7 + 1, o_orderkey % 8 + 1][1:(o_orderkey % 4 + 1)::INTEGER], '.') || ' Terms' AS t FROM orders)"""
 ORACLE = {
