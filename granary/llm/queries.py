@@ -97,4 +97,26 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language_model": op1_language_model, "op2_url_filter": op2_url_filter, "op3_html_text": op3_html_text, "op4_mixing": op4_mixing, "op5_decontaminate": op5_decontaminate, "op6_span_dedup": op6_span_dedup, "op7_hash_forest": op7_hash_forest, "op8_id_store": op8_id_store, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
-ORACLE = {"op2_url_filter": OP2_SQL}
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END) AS ss FROM w
+), c AS (
+  SELECT ss, min(doc_id) AS id, len(ss) AS n FROM s WHERE len(ss) > 0 GROUP BY ss
+), e AS (
+  SELECT id, n, unnest(ss) AS g FROM c
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT id AS a, id AS b FROM c UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
+), least AS (
+  SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, len(s.ss) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(c.id, s.doc_id) AS class_id
+FROM s LEFT JOIN c ON s.ss = c.ss LEFT JOIN least ON least.id = c.id
+"""
+ORACLE = {"op2_url_filter": OP2_SQL, "op10_ngram_join": OP10_SQL}
