@@ -287,9 +287,10 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, U64), dtype=U64)
 
 
-def bucket_edges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Ascending keys: where each of n equal ranges of the 64-bit space begins and ends."""
-    bounds = np.array([(i << 64) // n for i in range(1, n)], dtype=U64)
+def bucket_edges(keys: np.ndarray, n: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Ascending keys: where each of n equal ranges of the 64-bit space begins and ends; of those from first to last,
+    where all keys are in them."""
+    bounds = np.array([(i << 64) // n for i in range(first + 1, n if last is None else last)], dtype=U64)
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
 
 

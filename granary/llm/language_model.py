@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks_for, keyed, mix, pack, remainder, trimmed, unpack, used_once, word_hashes, words
-from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
+from .common import U64, Scratch, blocks_for, keyed, mix, remainder, trimmed, used_once, word_hashes, words
+from .exchange import BLOCK_CHARS, DIRECT, SENT, exchange, new_rows, send, sent_table, stacked, sums, with_block
 
 #: The end token's place among the word hashes; no word gives it but with the odds of a hash collision.
 END = U64(0x5BD1E9955BD1E995)
@@ -64,12 +64,10 @@ class Block:
         self.bi_context, self.bi_word = rank[v[order2]], rank[w[order2]]
 
 
-def _answers(t: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+def _answers(t: pa.Table, kind: int) -> list[np.ndarray]:
     t = t.filter(pc.equal(t.column("kind"), kind))
-    order = np.argsort(t.column("bucket").to_numpy())
-    a, b = t.column("total").to_pylist(), t.column("own").to_pylist()
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *(unpack(a[i], np.int64) for i in order)]), np.concatenate([none, *(unpack(b[i], np.int64) for i in order)])
+    rows = t.take(pc.sort_indices(t.column("bucket"))).column("values").to_pylist()
+    return stacked(rows, np.int64) or [np.zeros(0, np.int64)] * 2
 
 
 def frequency_bucket(c: np.ndarray) -> np.ndarray:
@@ -104,7 +102,7 @@ def em(cells: np.ndarray, vocabulary: int) -> np.ndarray:
     return weights
 
 
-def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, direct: int = DIRECT) -> DataFrame:
     """Scores of all documents by the model of those whose checksum's remainder (modulo 7) is not `held`."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = keyed(docs, key, text).withColumn("part", remainder("doc_id", PARTS).cast("int"))
@@ -113,45 +111,29 @@ def score(docs: DataFrame, held: int = 2, key: str = "doc_id", text: str = "text
     rows = with_block(rows, max(1, -(-blocks // PARTS)), "doc_id", "th").withColumn("block", F.col("block") * PARTS + F.col("part")).drop("th")
     blocked = rows.groupBy("block")
 
-    def count(t: pa.Table) -> pa.Table:
+    def count(t: pa.Table, buckets: int) -> pa.Table:
         b, part, block, out = Block(t.column("t")), t.column("part")[0].as_py(), t.column("block")[0].as_py(), new_rows()
         train = part != held
-        send(out, 0, block, b.uni_keys, [b.uni_counts.astype(np.int64) * train], blocks, part)
-        send(out, 1, block, b.bi_keys, [b.bi_counts.astype(np.int64) * train], blocks, part)
+        send(out, 0, block, b.uni_keys, [b.uni_counts.astype(np.int64) * train], buckets, part)
+        send(out, 1, block, b.bi_keys, [b.bi_counts.astype(np.int64) * train], buckets, part)
         return sent_table(out)
 
-    def total(t: pa.Table) -> pa.Table:
-        inverse, at, distinct = received(t)
-        counts = np.concatenate([unpack(v[0], np.int64) for v in t.column("values").to_pylist()])
-        part = np.repeat(t.column("extra").to_numpy(), np.diff(at))
-        whole = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-        own, by_part = np.zeros(len(inverse), np.int64), []
+    def total(inverse: np.ndarray, n: int, values: list, part: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+        """Of each key its count, and its count in the part that asks; noted: distinct keys, and tokens by part."""
+        (counts,) = values
+        whole, own, by_part = np.bincount(inverse, counts, n).astype(np.int64), np.zeros(len(inverse), np.int64), []
         for p in range(PARTS):
             mine = np.flatnonzero(part == p)
-            of_part = np.bincount(inverse[mine], counts[mine], len(distinct)).astype(np.int64)
+            of_part = np.bincount(inverse[mine], counts[mine], n).astype(np.int64)
             own[mine] = of_part[inverse[mine]]
             by_part.append(int(of_part.sum()))
-        out: dict[str, list] = {"block": [], "total": [], "own": []}
-        for block, a, b in zip(t.column("block").to_pylist(), at[:-1], at[1:]):
-            out["block"].append(block)
-            out["total"].append(pack(whole[inverse[a:b]]))
-            out["own"].append(pack(own[a:b]))
-        kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
-        n = len(out["block"])
-        return pa.table(
-            {
-                "block": pa.array([*out["block"], -1], pa.int32()), "kind": pa.array([kind] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()),
-                "total": pa.array([*out["total"], None], pa.binary()), "own": pa.array([*out["own"], None], pa.binary()),
-                "n_distinct": pa.array([0] * n + [int((whole > 0).sum())], pa.int64()), "by_part": pa.array([None] * n + [by_part], pa.list_(pa.int64())),
-            }
-        )
+        return [whole[inverse], own], [int((whole > 0).sum()), *by_part]
 
-    sent = blocked.applyInArrow(trimmed(count), SENT)
-    answers = scratch.save(sent.groupBy("kind", "bucket").applyInArrow(trimmed(total), "block int, kind int, bucket int, total binary, own binary, n_distinct long, by_part array<long>"))
-    sums = answers.where("block = -1 and kind = 0").agg(F.sum("n_distinct").alias("v"), *[F.sum(F.col("by_part")[i]).alias(f"p{i}") for i in range(PARTS)]).first()
-    vocabulary, by_part = int(sums["v"] or 0), [int(sums[f"p{i}"] or 0) for i in range(PARTS)]
+    answers = exchange(lambda buckets: blocked.applyInArrow(trimmed(lambda t: count(t, buckets)), SENT), blocks, scratch, sums, total, step=PARTS, direct=direct)
+    noted = answers.where("block = -1 and kind = 0").agg(*[F.sum(F.col("note")[i]).alias(f"n{i}") for i in range(PARTS + 1)]).first()
+    vocabulary, *by_part = (int(x or 0) for x in noted)
     n_train = sum(by_part)
-    replies = answers.where("block >= 0").select("block", "kind", "bucket", "total", "own").groupBy("block")
+    replies = answers.where("block >= 0").select("block", "kind", "bucket", "values").groupBy("block")
 
     def held_out(docs_: pa.Table, got: pa.Table) -> pa.Table:
         part = docs_.column("part")[0].as_py() if docs_.num_rows else held

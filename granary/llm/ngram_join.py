@@ -40,9 +40,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, blocks_for, by_chars, keyed, lookup, lookups, mix, pack, trimmed, unpack, word_hashes, words
+from .common import U64, Scratch, blocks_for, by_chars, keyed, lookup, lookups, mix, trimmed, unpack, word_hashes, words
 from .components import connected_components
-from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
+from .exchange import BLOCK_CHARS, DIRECT, SENT, exchange, new_rows, send, sent_table, sums, with_block
 
 WORDS = 5
 #: A pair links when NUM * intersection >= DEN * union: 0.8.
@@ -207,7 +207,7 @@ class Prepared:
         return self.sets.select("id", "n", "m", F.explode("tokens").alias("token"))
 
 
-def prepare(docs: DataFrame, key: str, text: str, width: int, block_chars: int) -> Prepared:
+def prepare(docs: DataFrame, key: str, text: str, width: int, block_chars: int, direct: int) -> Prepared:
     scratch = Scratch(docs.sparkSession)
     rows = keyed(docs, key, text)
 
@@ -238,26 +238,25 @@ def prepare(docs: DataFrame, key: str, text: str, width: int, block_chars: int)
         order = sorted(sets)
         return order, [sets[i] for i in order]
 
-    def count(t: pa.Table, r: pa.Table) -> pa.Table:
+    def count(t: pa.Table, r: pa.Table, buckets: int) -> pa.Table:
         out = new_rows()
         if t.num_rows and r.num_rows:
             _, sets = chosen(t, r)
             keys, n = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_counts=True)
-            send(out, 0, t.column("block")[0].as_py(), keys, [n.astype(np.int64)], blocks)
+            send(out, 0, t.column("block")[0].as_py(), keys, [n.astype(np.int64)], buckets)
         return sent_table(out)
 
-    def total(t: pa.Table) -> pa.Table:
-        inverse, at, distinct = received(t)
-        counts = np.concatenate([unpack(v[0], np.int64) for v in t.column("values").to_pylist()])
-        df = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "df": pa.array([pack(df[inverse[a:b]]) for a, b in zip(at[:-1], at[1:])], pa.binary())})
+    total = lambda inverse, n, values, extra: ([sums(inverse, n, values)[0][inverse]], None)
 
-    sent = blocked.cogroup(reps.groupBy("block")).applyInArrow(trimmed(count), SENT)
-    answers = scratch.save(sent.groupBy("bucket").applyInArrow(trimmed(total), "block int, bucket int, df binary"))
+    def send_all(buckets: int) -> DataFrame:
+        f = lambda t, r: count(t, r, buckets)
+        return blocked.cogroup(reps.groupBy("block")).applyInArrow(trimmed(f), SENT)
+
+    answers = exchange(send_all, blocks, scratch, sums, total, direct=direct)
 
     # what a block needs: its classes and the frequencies of its shingles
     given = reps.select("block", "th", "id", "h", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("df"))
-    given = given.unionByName(answers, allowMissingColumns=True)
+    given = given.unionByName(answers.where("block >= 0").select("block", "bucket", F.col("values")[0].alias("df")), allowMissingColumns=True)
 
     def prefixes(t: pa.Table, g: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("id", "n", "m", "shingles", "sketch", "tokens")}
@@ -307,10 +306,10 @@ def tree_pairs(p: Prepared, labelled: DataFrame, chunk: int) -> DataFrame:
     return left.groupBy("slice").applyInArrow(trimmed(tree), "a long, b long").distinct()
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK) -> DataFrame:
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK, direct: int = DIRECT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (the smallest key with an equal set), text_hash and is_first for each
     row. is_first: the row, by key and text_hash, that stands for its component, or one without shingles."""
-    p = prepare(docs, key, text, width, block_chars)
+    p = prepare(docs, key, text, width, block_chars, direct)
     scratch, entries, whole = p.scratch, p.entries(), p.sets.select("id", "n", "shingles")
 
     # hubs: of the classes near in size that share a token, the one with the fewest shingles of its own
@@ -339,9 +338,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), of_set.alias("class_id"), F.col("th").alias("text_hash"), is_first.alias("is_first"))
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK) -> DataFrame:
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK, direct: int = DIRECT) -> DataFrame:
     """a, b: the smallest keys of each two classes that link, a pair once (null where no row of a class has a key)."""
-    p = prepare(docs, key, text, width, block_chars)
+    p = prepare(docs, key, text, width, block_chars, direct)
     labelled = p.scratch.save(p.entries().withColumn("label", F.col("id")))
     pairs = p.scratch.save(tree_pairs(p, labelled, chunk))
     found = p.scratch.save(verify(pairs, p.sets.select("id", "n", "shingles")))

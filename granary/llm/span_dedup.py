@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import U64, Scratch, blocks_for, keyed, mix, pack, trimmed, unpack
-from .exchange import BLOCK_CHARS, SENT, new_rows, received, send, sent_table, with_block
+from .common import U64, Scratch, blocks_for, keyed, mix, trimmed
+from .exchange import BLOCK_CHARS, DIRECT, SENT, exchange, new_rows, send, sent_table, stacked, with_block
 
 MIN_UNITS, MIN_WORDS = 3, 20
 GRAM, WINDOW = 26, 25
@@ -170,40 +170,45 @@ class Block:
         self.owner_key = np.array([LAST if d is None else d for d in self.docs], np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_units: int = MIN_UNITS, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def least(inverse: np.ndarray, n: int, values: list[np.ndarray]) -> list[np.ndarray]:
+    """For each distinct key the smallest document key."""
+    out = np.full(n, LAST)
+    np.minimum.at(out, inverse, values[0])
+    return [out]
+
+
+def owners(inverse: np.ndarray, n: int, values: list[np.ndarray], _extra=None) -> tuple[list[np.ndarray], None]:
+    """Which of the places sent is the first to have its key's smallest document key."""
+    ours = np.flatnonzero(values[0] == least(inverse, n, values)[0][inverse])
+    winner = np.full(n, -1)
+    winner[inverse[ours][::-1]] = ours[::-1]  # the first of them
+    return [winner[inverse] == np.arange(len(inverse))], None
+
+
+def owners_of_group(inverse: np.ndarray, n: int, values: list[np.ndarray], answers: list[np.ndarray]) -> list[np.ndarray]:
+    return [owners(inverse, n, values)[0][0] & answers[0][inverse].astype(bool)]
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_units: int = MIN_UNITS, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS, direct: int = DIRECT) -> DataFrame:
     scratch, rows = Scratch(docs.sparkSession), keyed(docs, key, text)
     blocks = blocks_for(rows, "t", block_chars)
     blocked = with_block(rows, blocks, "doc_id", "th").drop("th").groupBy("block")
 
-    def first_places(t: pa.Table) -> pa.Table:
+    def first_places(t: pa.Table, buckets: int) -> pa.Table:
         b, out = Block(t, min_units, min_words), new_rows()
-        send(out, 0, t.column("block")[0].as_py(), b.keys, [b.owner_key], blocks)
+        send(out, 0, t.column("block")[0].as_py(), b.keys, [b.owner_key], buckets)
         return sent_table(out)
 
-    def owners(t: pa.Table) -> pa.Table:
-        # rows in the order of their blocks, so that a key at the end of all others has one owner too
-        t = t.take(pc.sort_indices(t.column("block")))
-        inverse, at, distinct = received(t)
-        doc = np.concatenate([unpack(v[0], np.int64) for v in t.column("values").to_pylist()])
-        least = np.full(len(distinct), LAST)
-        np.minimum.at(least, inverse, doc)
-        ours = np.flatnonzero(doc == least[inverse])
-        winner = np.full(len(distinct), -1)
-        winner[inverse[ours][::-1]] = ours[::-1]  # the first of them
-        mine = (winner[inverse] == np.arange(len(inverse))).astype(np.uint8)
-        n = t.num_rows
-        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "mine": pa.array([pack(mine[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())}) if n else t
-
-    sent = blocked.applyInArrow(trimmed(first_places), SENT)
-    answers = scratch.save(sent.groupBy("bucket").applyInArrow(trimmed(owners), "block int, bucket int, mine binary"))
+    # rows come in the order of their blocks, so that a key at the end of all others has one owner too
+    send_all = lambda buckets: blocked.applyInArrow(trimmed(lambda t: first_places(t, buckets)), SENT)
+    answers = exchange(send_all, blocks, scratch, least, owners, owners_of_group, dtype=np.uint8, direct=direct)
 
     def remove(t: pa.Table, got: pa.Table) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in OUT.split(", ")}
         if t.num_rows:
             b = Block(t, min_units, min_words)
-            order = np.argsort(got.column("bucket").to_numpy())
-            packed = got.column("mine").to_pylist()
-            mine = np.concatenate([np.zeros(0, np.uint8), *(unpack(packed[i], np.uint8) for i in order)]).astype(bool)
+            rows_ = got.take(pc.sort_indices(got.column("bucket"))).column("values").to_pylist()
+            mine = stacked(rows_, np.uint8)[0].astype(bool) if rows_ else np.zeros(0, bool)
             kept = np.zeros(len(b.inverse), bool)  # the places that stay
             kept[b.at[mine]] = True
             for i, (doc, x, (ends, _, sizes), stops, starts) in enumerate(zip(b.docs, b.texts, b.units, b.span_ends, b.gram_starts)):
@@ -221,4 +226,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_units: i
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), types)})
 
-    return blocked.cogroup(answers.groupBy("block")).applyInArrow(trimmed(remove), OUT)
+    return blocked.cogroup(answers.where("block >= 0").select("block", "bucket", "values").groupBy("block")).applyInArrow(trimmed(remove), OUT)

@@ -58,6 +58,9 @@ def test_packing():
         keys = np.unique(cm.mix(np.arange(n, dtype=np.uint64)))
         assert (cm.unpack_sorted(cm.pack_sorted(keys)) == keys).all()
         assert cm.bucket_edges(keys, 7)[-1] == n
+        wide, fine = cm.bucket_edges(keys, 3), cm.bucket_edges(keys, 12)
+        assert (wide == fine[::4]).all()
+        assert all((cm.bucket_edges(keys[wide[i] : wide[i + 1]], 12, 4 * i, 4 * i + 4) + wide[i] == fine[4 * i : 4 * i + 5]).all() for i in range(3))
 
 
 def test_by_chars():
@@ -128,10 +131,11 @@ def brute_model(rows, held=2):
     return out
 
 
-def test_language_model_scores_by_brute_force(spark):
+@pytest.mark.parametrize("direct", [4096, 1])  # keys meet in one step, in two
+def test_language_model_scores_by_brute_force(spark, direct):
     rows = corpus(9, 40)
     got, want = collections.defaultdict(list), collections.defaultdict(list)
-    for r in language_model.score(frame(spark, rows), block_chars=1200).collect():
+    for r in language_model.score(frame(spark, rows), block_chars=1200, direct=direct).collect():
         got[r.doc_id].append(round(r.score, 5))
     for (i, _), x in zip(rows, brute_model(rows)):
         want[i].append(round(x, 5))
@@ -207,7 +211,8 @@ def test_short_items_are_whole_words():
 # --- spans ---------------------------------------------------------------------------------------
 
 
-def test_spans_like_brute_force(spark):
+@pytest.mark.parametrize("direct", [4096, 1])
+def test_spans_like_brute_force(spark, direct):
     rows = [(i, t) for i, t in corpus(7, 50) if i is not None]
     docs = sorted({(i, t or "") for i, t in rows})
     seen, want = set(), {}
@@ -227,7 +232,7 @@ def test_spans_like_brute_force(spark):
             seen.add(key)
         at = [0, *ends]
         want[i, t] = "".join(t[at[j] : at[j + 1]] for j in range(n) if not gone[j]) if any(gone) else t
-    got = span_dedup.dedup(frame(spark, rows), min_words=10, block_chars=700).collect()
+    got = span_dedup.dedup(frame(spark, rows), min_words=10, block_chars=700, direct=direct).collect()
     assert len(got) == len(rows)
     texts = collections.defaultdict(list)
     for r in got:
@@ -396,15 +401,15 @@ def linked(rows):
     return [(rows[i][0], len(sets[i]), least[i]) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("chunk", [3, 2000])
-def test_join_like_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "direct"), [(3, 4096), (2000, 1)])
+def test_join_like_brute_force(spark, chunk, direct):
     rows = corpus(11, 40)
     rng = random.Random(8)
     base = [f"q{i}" for i in range(90)]
     for i in range(60):  # a chain: neighbours link, the ends don't
         base[rng.randrange(90)] = f"z{i}"
         rows.append((4000 + i, " ".join(base)))
-    got = ngram_join.components(frame(spark, rows), block_chars=2500, chunk=chunk).collect()
+    got = ngram_join.components(frame(spark, rows), block_chars=2500, chunk=chunk, direct=direct).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == collections.Counter(linked(rows))
 
 
