@@ -14,7 +14,7 @@ SQL = {
     "sql_join_right": "SELECT s_suppkey, n_name FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey AND n_regionkey = 1",
     "sql_join_full": "SELECT c.k AS k, c.a AS a, s.b AS b FROM (SELECT c_nationkey AS k, count(*) AS a FROM customer WHERE c_custkey % 7 = 0 GROUP BY c_nationkey) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS b FROM supplier GROUP BY s_nationkey) s ON c.k = s.k",
     "sql_join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
-    "sql_join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "sql_join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey < n_nationkey",
     "sql_join_theta": "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size = s_suppkey % 50 AND p_retailprice > s_acctbal",
     "sql_agg_group": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_shipdate) AS first_day, max(l_tax) AS tax FROM lineitem GROUP BY l_returnflag, l_linestatus",
@@ -28,7 +28,7 @@ SQL = {
     "sql_window_frame": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM events",
     "sql_set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "sql_set_intersect": "SELECT p_size AS k FROM part WHERE p_partkey % 3 = 0 INTERSECT SELECT p_size FROM part WHERE p_partkey % 5 = 0",
-    "sql_set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "sql_set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "sql_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "sql_subquery": "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)",
     "sql_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus",
