@@ -30,7 +30,7 @@ import json
 import os
 import unicodedata
 import zlib
-from itertools import chain, compress
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,38 +97,47 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat, self.first, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _singly(self, found: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+    def _singly(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of each text, one after the other."""
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), self.dtype, int(sizes.sum())), sizes
 
-    def _together(self, found: list[str]) -> list[list[int]]:
+    def _together(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of words of small letters alone, normalised: each is one piece of the tokenizer's pattern, and one of its ids
         ends a word."""
         if self.ends_word is None:
             return self._singly(found)
-        out: list[list[int]] = []
+        flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         parts = [found[i : i + TOGETHER] for i in range(0, len(found), TOGETHER)]
         for part, e in zip(parts, self.lean.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = e.ids
-            stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            ids = np.array(e.ids, self.dtype)
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
-                out += [ids[a:b] for a, b in zip([0, *stops], stops)]
+                flat.append(ids)
+                sizes.append(np.diff(stops, prepend=0))
             else:  # not such a tokenizer after all
-                out += self._singly(part)
+                for out, x in zip((flat, sizes), self._singly(part)):
+                    out.append(x)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    @staticmethod
+    def _plain(vocab: pa.Array) -> np.ndarray:
+        """Which words have small letters alone, as the normaliser leaves them."""
+        out = pc.match_substring_regex(vocab, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~out)
+        rest = rest[pc.utf8_is_alpha(vocab.take(pa.array(rest))).to_numpy(zero_copy_only=False)]
+        for i, w in zip(rest.tolist(), strings(vocab.take(pa.array(rest)))):
+            out[i] = w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w)
         return out
 
-    def _encode(self, found: list[str]) -> list[list[int]]:
-        plain = [w.isalpha() and w.lower() == w and (w.isascii() or unicodedata.is_normalized("NFC", w)) for w in found]
-        letters = iter(self._together(list(compress(found, plain))))
-        others = iter(self._singly([w for w, p in zip(found, plain) if not p]))
-        return [next(letters) if p else next(others) for p in plain]
-
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all texts, each with its end id."""
         if self.by_words:
             return self._by_words(texts, end_id)
-        each = [[*ids, end_id] for ids in self._singly([x or "" for x in texts.to_pylist()])]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(chain.from_iterable(each), self.dtype, int(sizes.sum())), np.concatenate(([0], np.cumsum(sizes)))
+        flat, sizes = self._singly([x or "" for x in texts.to_pylist()])
+        stops = np.cumsum(sizes)
+        return np.insert(flat, stops, end_id), np.concatenate(([0], stops + np.arange(1, len(stops) + 1)))
 
     def _by_words(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         # special tokens are told by their exact letters, before the tokenizer lower-cases: A-Z wait for it then
@@ -137,7 +146,7 @@ class Encoder:
             texts = pc.replace_substring_regex(texts, PUNCTUATED, r"\1 \2")
         codes, offs, vocab = words(texts, lower=lower)
         found, get = strings(vocab), self.known.get
-        at = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+        at = np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
         if len(self.known) + (at < 0).sum() > MEMORY:  # keep the words that these texts met again
             old = np.flatnonzero(at >= 0)[:MEMORY]
             size, first, flat = self.size[at[old]], self.first[at[old]], self.flat
@@ -148,10 +157,12 @@ class Encoder:
             at[:] = -1
             at[old] = np.arange(len(old))
         new = np.flatnonzero(at < 0)
-        fresh = [found[i] for i in new.tolist()]
-        got = self._encode(fresh) + [[end_id]]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum()))))
+        plain = self._plain(vocab.take(pa.array(new)))
+        new = np.concatenate((new[plain], new[~plain]))
+        fresh, n = [found[i] for i in new.tolist()], int(plain.sum())
+        got = self._together(fresh[:n]), self._singly(fresh[n:]), (np.array([end_id], self.dtype), np.array([1]))
+        sizes = np.concatenate([x for _, x in got])
+        flat = np.concatenate((self.flat, *(x for x, _ in got)))
         first = np.concatenate((self.first, len(self.flat) + np.cumsum(sizes) - sizes))
         size = np.concatenate((self.size, sizes))
         at[new] = len(self.first) + np.arange(len(new))
