@@ -28,6 +28,12 @@ def _replaced(array: Column, last: Column) -> Column:
     return F.array_append(F.slice(array, F.lit(1), F.size(array) - 1), last)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row: no filter or projection above is moved through a generator, which
+    would repeat its expression for each use."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()], F.explode(F.array(value)).alias(name))
+
+
 def sorted_words(words: Column) -> Column:
     """Words from the left, those without a place left out."""
     whole = F.filter(words, lambda w: w["x0"].isNotNull() & w["x1"].isNotNull() & w["top"].isNotNull() & w["bottom"].isNotNull())
@@ -127,9 +133,9 @@ def page_lines(words: Column) -> Column:
 def segmented(pages: DataFrame) -> DataFrame:
     """pages with sorted words, found (their tables: ruled ones, or those shown where there are none) and rest: the text
     that came with a page without tables, that of the words outside them of others."""
-    p = pages.withColumn("words", sorted_words(F.coalesce("words", F.array().cast("array<struct<x0:double,x1:double,top:double,bottom:double,text:string>>"))))
-    p = p.withColumn("found", tx.bind(ruled_tables(F.col("words"), F.col("tables")), lambda t: F.when(F.size(t) > 0, t).otherwise(shown_tables(F.col("words")))))
-    return p.withColumn("rest", F.when(F.size("found") > 0, page_lines(outside(F.col("words"), F.col("found")))).otherwise(F.coalesce("text", F.lit(""))))
+    p = once(pages, "words", sorted_words(F.coalesce("words", F.array().cast("array<struct<x0:double,x1:double,top:double,bottom:double,text:string>>"))))
+    p = once(p, "found", tx.bind(ruled_tables(F.col("words"), F.col("tables")), lambda t: F.when(F.size(t) > 0, t).otherwise(shown_tables(F.col("words")))))
+    return once(p, "rest", F.when(F.size("found") > 0, page_lines(outside(F.col("words"), F.col("found")))).otherwise(F.coalesce("text", F.lit(""))))
 
 
 def blocks(pages: DataFrame) -> DataFrame:
@@ -138,9 +144,9 @@ def blocks(pages: DataFrame) -> DataFrame:
     block = "struct<kind:string,cells:array<array<string>>,external:array<string>,text:string>"
     tables = F.transform("found", lambda t: F.struct(F.lit("table").alias("kind"), t["cells"].alias("cells"), t["external"].alias("external"), F.lit(None).cast("string").alias("text"))).cast(f"array<{block}>")
     texts = F.transform(pg.text_blocks(F.col("rest")), lambda b: F.struct(b["kind"].alias("kind"), F.lit(None).cast("array<array<string>>").alias("cells"), F.lit(None).cast("array<string>").alias("external"), b["text"].alias("text"))).cast(f"array<{block}>")
-    each = segmented(pages).select(*PAGE, F.posexplode(F.concat(tables, texts)).alias("block_no", "b")).select(*PAGE, "block_no", "b.*")
-    heads = F.filter(F.transform(F.coalesce(tx.lines(F.col("text")), F.array().cast("array<string>")), lambda line: F.struct(pg.heading_depth(tx.strip(line)).alias("d"), tx.strip(line).alias("t"))), lambda h: h["d"].isNotNull())
-    each = each.withColumn("heads", heads)
+    each = once(segmented(pages), "b", F.concat(tables, texts)).select(*PAGE, F.posexplode("b").alias("block_no", "b")).select(*PAGE, "block_no", "b.*")
+    heads = F.filter(F.transform(F.transform(F.coalesce(tx.lines(F.col("text")), F.array().cast("array<string>")), tx.strip), lambda line: F.struct(pg.heading_depth(line).alias("d"), line.alias("t"))), lambda h: h["d"].isNotNull())
+    each = once(each, "heads", heads)
     at = F.struct("page_no", "block_no")
     lines = each.where(F.size("heads") > 0).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(at.alias("n"), "heads"))).alias("hs"))
     flat = F.flatten(F.transform("hs", lambda x: F.transform(x["heads"], lambda h: F.struct(x["n"].alias("n"), h["d"].alias("d"), h["t"].alias("t")))))
@@ -153,7 +159,7 @@ def blocks(pages: DataFrame) -> DataFrame:
 def with_records(found: DataFrame) -> DataFrame:
     """Blocks with columns and rows (arrays of strings) for tables that have any."""
     r = pg.table_records(F.col("cells"), F.col("external"))
-    return found.withColumn("__r", F.when(F.col("kind") == "table", r)).withColumn("columns", F.col("__r")["headers"]).withColumn("rows", F.col("__r")["rows"]).drop("__r")
+    return once(found, "__r", F.when(F.col("kind") == "table", r)).withColumn("columns", F.col("__r")["headers"]).withColumn("rows", F.col("__r")["rows"]).drop("__r")
 
 
 def row_maps(columns: Column, rows: Column) -> Column:
@@ -167,7 +173,7 @@ def documents(found: DataFrame) -> DataFrame:
     content = pg.render(F.col("kind"), F.col("page_no"), F.col("columns"), F.col("rows"), F.col("text"))
     ident = F.concat(F.lit("pdf_"), F.substring(F.sha2(F.concat_ws("/", F.col("file_id").cast("string"), F.col("page_no").cast("string"), F.col("block_no").cast("string")), 256), 1, 16))
     label = F.when(F.col("columns").isNotNull(), F.element_at(F.when(F.size("headings") > 0, F.col("headings")), -1))
-    out = b.withColumn("content", content).where("content is not null and content <> ''")
+    out = once(b, "content", content).where("content is not null and content <> ''")
     return out.select("file_id", "page_no", "block_no", ident.alias("doc_id"), "content", F.lit("pdf").alias("source_type"), F.col("kind").alias("block_type"), "headings", F.col("columns").alias("table_columns"), row_maps(F.col("columns"), F.col("rows")).alias("table_rows"), label.alias("table_label"))
 
 
