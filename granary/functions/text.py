@@ -45,6 +45,19 @@ def is_upper(c: Column) -> Column:
     return (F.upper(c) == c) & (F.lower(c) != c)
 
 
+def _capital(x: str) -> str:
+    return next((y for y in (x.upper(), x.title()) if len(y) == 1), "ẞ" if x == "ß" else x)
+
+
+_CASED = [(x, y) for x in map(chr, range(0x20000)) if (y := _capital(x)) != x]
+_SMALL, _CAPITAL = ("".join(x) for x in zip(*_CASED))
+
+
+def upper_each(c: Column) -> Column:
+    """Upper case by single characters, as in DuckDB: ß gives ẞ and ligatures stay, where F.upper gives several letters."""
+    return F.translate(c, _SMALL, _CAPITAL)
+
+
 def base_name(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/\\]*)$", 1)
 

@@ -16,7 +16,7 @@ def marked_lines():
         .when(i % 7 == 1, F.concat(F.lit("# "), line))
         .when(i % 7 == 3, F.concat(F.lit("- "), line))
         .when(i % 7 == 5, F.concat(F.lit("Bob: "), line))
-        .when((i % 7 == 6) & (F.col("lang") == "en"), F.upper(line))
+        .when((i % 7 == 6) & (F.col("lang") == "en"), tx.upper_each(line))
         .otherwise(line),
     )
 
