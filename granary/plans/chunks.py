@@ -45,7 +45,7 @@ def chunk_structured(spark, d):
 
 
 def chunk_prose(spark, d):
-    heads = F.array(F.col("source"), F.upper(F.col("lang")))
+    heads = F.array(F.col("source"), tx.upper_each(F.col("lang")))
     return marked(spark, d).select("doc_id", F.posexplode(ck.prose_chunks(F.col("text"), heads, 60, 8)).alias("chunk_index", "content"))
 
 
